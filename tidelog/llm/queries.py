@@ -6,18 +6,33 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidelog.llm import packing
+from tidelog.llm import packing, secrets, simhash, vptree
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op4_vantage_point_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vptree.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op5_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secret_report(table(spark, sf_dir, "documents"))
+
+
+def op8_simhash_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.document_fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op10_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_vantage_point_simhash": op4_vantage_point_simhash,
+    "op5_secret_ownership": op5_secret_ownership,
+    "op8_simhash_blocks": op8_simhash_blocks,
     "op10_best_two_fit": op10_best_two_fit,
 }
 
