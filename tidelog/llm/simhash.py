@@ -96,7 +96,7 @@ def with_next(docs: DataFrame) -> DataFrame:
 def edited_fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fp, edited_fp, next_fp: one row per document, see with_next. One shuffle of the texts."""
     follow = with_next(docs)
-    both = follow.select("run", "pos", "guest", "doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("text").alias("t")), F.struct(F.lit(1), F.col("edited")))).alias("x"))
+    both = follow.select("run", "pos", "guest", "doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("text").alias("t")), F.struct(F.lit(1).alias("side"), F.col("edited").alias("t")))).alias("x"))
     both = both.where("x.t is not null").select("run", "pos", "guest", "doc_id", "n_chars", "edited_sha256", "x.side", "x.t")
     keys = ["run", "pos", "guest", "doc_id", "n_chars", "edited_sha256"]
     votes = simhash(both, [*keys, "side"], "t")
