@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidelog.llm import packing, secrets, simhash, vptree
+from tidelog.llm import packing, secrets, simhash, vptree, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.warc_round_trip(table(spark, sf_dir, "pages"))
+
+
 def op4_vantage_point_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vptree.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -30,10 +34,22 @@ def op10_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_warc_segments": op1_warc_segments,
     "op4_vantage_point_simhash": op4_vantage_point_simhash,
     "op5_secret_ownership": op5_secret_ownership,
     "op8_simhash_blocks": op8_simhash_blocks,
     "op10_best_two_fit": op10_best_two_fit,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op1_warc_segments": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+        d AS (SELECT page_id, strlen(html)::BIGINT AS payload_bytes, sha1(html) AS hex FROM p),
+        e AS (SELECT page_id, payload_bytes, array_to_string(list_transform(range(0, 32), lambda k:
+                substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(hex, 1 + (k // 8) * 10, 10))::BIGINT >> (35 - 5 * (k % 8))) & 31)::INTEGER, 1)), '') AS payload_digest FROM d),
+        f AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS first FROM e)
+        SELECT page_id, payload_bytes, payload_digest,
+            CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+            CASE WHEN page_id <> first THEN first END AS refers_to
+        FROM f""",
+}
