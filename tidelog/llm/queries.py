@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidelog.llm import packing, secrets, simhash, vptree, warc
+from tidelog.llm import media, packing, secrets, simhash, vptree, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,10 @@ def op1_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.warc_round_trip(table(spark, sf_dir, "pages"))
 
 
+def op2_interleaved_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.document_media(table(spark, sf_dir, "documents"))
+
+
 def op4_vantage_point_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vptree.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -35,6 +39,7 @@ def op10_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc_segments": op1_warc_segments,
+    "op2_interleaved_media": op2_interleaved_media,
     "op4_vantage_point_simhash": op4_vantage_point_simhash,
     "op5_secret_ownership": op5_secret_ownership,
     "op8_simhash_blocks": op8_simhash_blocks,
