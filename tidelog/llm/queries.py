@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidelog.llm import media, packing, secrets, simhash, vptree, warc
+from tidelog.llm import chat, media, mixing, packing, secrets, simhash, vptree, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,10 +29,18 @@ def op5_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_report(table(spark, sf_dir, "documents"))
 
 
+def op6_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.poisson_mix(table(spark, sf_dir, "documents"))
+
+
 def op8_simhash_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.document_fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op9_prefix_rendering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.chat_report(table(spark, sf_dir, "conversations"))
+
+
 def op10_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
@@ -42,7 +50,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_interleaved_media": op2_interleaved_media,
     "op4_vantage_point_simhash": op4_vantage_point_simhash,
     "op5_secret_ownership": op5_secret_ownership,
+    "op6_poisson_mixing": op6_poisson_mixing,
     "op8_simhash_blocks": op8_simhash_blocks,
+    "op9_prefix_rendering": op9_prefix_rendering,
     "op10_best_two_fit": op10_best_two_fit,
 }
 
@@ -57,4 +67,26 @@ ORACLE_SQL: dict[str, str] = {
             CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
             CASE WHEN page_id <> first THEN first END AS refers_to
         FROM f""",
+    "op6_poisson_mixing": """
+        WITH s AS (SELECT coalesce(source, '') AS mix, count(*) AS n FROM documents GROUP BY 1),
+        t AS (SELECT sum(n)::DOUBLE AS total, sum(round(sqrt(n::DOUBLE), 6)::DECIMAL(38, 6))::DOUBLE AS weight FROM s),
+        r AS (SELECT mix, round(least(8.0::DOUBLE, sqrt(n::DOUBLE) * total / weight / n), 3) AS rate FROM s, t),
+        c AS (SELECT mix, k, sum(exp(-rate) * pow(rate, k) / factorial(k::INTEGER)::DOUBLE) OVER (PARTITION BY mix ORDER BY k) AS cdf FROM r, range(0, 33) AS g(k)),
+        q AS (SELECT mix, list(floor(cdf * 4503599627370496)::BIGINT ORDER BY k) AS steps FROM c GROUP BY 1),
+        d AS (SELECT documents.*, ('0x' || substr(md5('17:' || coalesce(doc_id::VARCHAR, 'null') || ':count'), 1, 13))::BIGINT AS u FROM documents),
+        e AS (SELECT d.*, len(list_filter(steps, lambda x: x <= u))::INTEGER AS n_copies FROM d JOIN q ON q.mix = coalesce(d.source, '')),
+        f AS (SELECT *, unnest(range(0, n_copies))::INTEGER AS copy FROM e)
+        SELECT doc_id, text, lang, source, n_chars, copy, n_copies,
+            ('0x' || substr(md5('17:' || coalesce(doc_id::VARCHAR, 'null') || ':copy:' || copy::VARCHAR), 1, 13))::BIGINT AS shuffle_key
+        FROM f""",
+    "op9_prefix_rendering": r"""
+        WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+            UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+        m AS (SELECT *, regexp_replace(text, '(\\)|(<\||\|>|<s>|</s>|\[INST\]|\[/INST\]|<<SYS>>|<</SYS>>)', 'x\0', 'g') AS longer FROM c)
+        SELECT conv_id, count(*) AS n_turns,
+            sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+            coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+            sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+            sum(length(longer) + length(role) + 18)::BIGINT AS formatted_chars, 0::BIGINT AS rewrites
+        FROM m GROUP BY conv_id""",
 }
