@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidelog.llm import chat, media, mixing, packing, secrets, simhash, vptree, warc
+from tidelog.llm import chat, media, mincut, mixing, packing, quality, secrets, simhash, vptree, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,10 @@ def op2_interleaved_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.document_media(table(spark, sf_dir, "documents"))
 
 
+def op3_minimum_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mincut.extract_main_text(table(spark, sf_dir, "pages"))
+
+
 def op4_vantage_point_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vptree.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -33,6 +37,10 @@ def op6_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.poisson_mix(table(spark, sf_dir, "documents"))
 
 
+def op7_weak_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_report(table(spark, sf_dir, "documents"))
+
+
 def op8_simhash_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.document_fingerprints(table(spark, sf_dir, "documents"))
 
@@ -48,9 +56,11 @@ def op10_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc_segments": op1_warc_segments,
     "op2_interleaved_media": op2_interleaved_media,
+    "op3_minimum_cut": op3_minimum_cut,
     "op4_vantage_point_simhash": op4_vantage_point_simhash,
     "op5_secret_ownership": op5_secret_ownership,
     "op6_poisson_mixing": op6_poisson_mixing,
+    "op7_weak_labels": op7_weak_labels,
     "op8_simhash_blocks": op8_simhash_blocks,
     "op9_prefix_rendering": op9_prefix_rendering,
     "op10_best_two_fit": op10_best_two_fit,

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import materialize
+from tidelog.llm.common import materialize, small_join
 
 # The kinds of candidates in listed order, their patterns, and the shortest match that counts. A pattern with
 # a minimum in it finds the same matches as one without and a filter, its runs being maximal; `assign` keeps the filter,
@@ -46,8 +46,8 @@ def ownership(found: DataFrame) -> DataFrame:
     return owner.groupBy("hash").agg(F.count("*").alias("owners"), F.sum("repositories").alias("repositories"), F.sum("n").alias("occurrences"))
 
 
-def scan(docs: DataFrame, *, text_col: str = "text", owner: Column | None = None, repository: Column | None = None) -> tuple[DataFrame, DataFrame]:
-    """(rows, spans): rows has the columns of docs but the text, and `row`; spans has row, kind, start, stop, value, owners, repositories, occurrences, verdict.
+def scan(docs: DataFrame, *, text_col: str = "text", owner: Column | None = None, repository: Column | None = None, keep: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(rows, spans): rows has the columns of docs but the text (or `keep`, of which the first numbers the rows), and `row`; spans has row, kind, start, stop, value, owners, repositories, occurrences, verdict.
 
     An owner is the document's source and a repository a source and language unless given; null owners count as one. The
     verdict is `shared` for values of at least SHARED_OWNERS owners, `live` for values of one owner that look random
@@ -58,8 +58,8 @@ def scan(docs: DataFrame, *, text_col: str = "text", owner: Column | None = None
     repository = F.coalesce(repository if repository is not None else F.concat_ws("/", "source", "lang"), F.lit(""))
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     matches = F.concat(*[_matches(text, kind, pattern) for kind, pattern in PATTERNS.items()])
-    rest = [c for c in docs.columns if c != text_col]
-    read = docs.select(F.monotonically_increasing_id().alias("row"), owner.alias("owner"), repository.alias("repository"), F.struct(*rest).alias("doc"), matches.alias("matches"))
+    rest = keep if keep is not None else [c for c in docs.columns if c != text_col]
+    read = docs.select(F.monotonically_increasing_id().alias("row") if keep is None else F.col(keep[0]).alias("row"), owner.alias("owner"), repository.alias("repository"), F.struct(*rest).alias("doc"), matches.alias("matches"))
     read = materialize(read, "scanned")
     found = materialize(candidates(read).withColumn("hash", F.sha2("value", 256)), "candidates")
     frequency = materialize(ownership(found), "ownership")
@@ -88,3 +88,30 @@ def secret_report(docs: DataFrame, **options) -> DataFrame:
     count = lambda k: F.size(F.filter("s", lambda x: x["listed"] == k)).cast("long")
     base = F.filter("s", lambda x: x["listed"] <= 3)
     return out.select("doc_id", count(1).alias("n_assign"), count(2).alias("n_access"), count(3).alias("n_hex"), F.sha2(_joined(base), 256).alias("base_sha256"), _joined(F.col("s")).alias("spans"), count(4).alias("n_live"), count(5).alias("n_shared"))
+
+
+def mask_live(docs: DataFrame, *, text_col: str = "text", mask: str = "[secret]") -> DataFrame:
+    """docs with each live value replaced by `mask` and n_chars brought up to date; shared and unsure values stay, and so does every row.
+
+    Overlapping live values are masked as one. The edits of a row travel to it by its row number; texts without edits are
+    untouched.
+    """
+    columns = docs.columns
+    numbered = docs.withColumn("__row", F.monotonically_increasing_id())
+    numbered = materialize(numbered, "numbered")
+    _, spans = scan(numbered, text_col=text_col, keep=["__row"])
+    live = spans.where("verdict = 'live'").select(F.col("row").alias("__row"), (F.col("stop") - F.length("value")).cast("int").alias("start"), F.col("stop").cast("int").alias("stop"))
+    edits = materialize(live.groupBy("__row").agg(F.array_sort(F.collect_set(F.struct("start", "stop"))).alias("__edits")), "edits")
+    joined = small_join(numbered, edits, "__row")
+    text = F.col(text_col)
+    done = F.aggregate(
+        "__edits",
+        F.struct(F.lit("").alias("out"), F.lit(0).alias("at")),
+        lambda a, e: F.when(e["stop"] <= a["at"], a).otherwise(F.struct(F.concat(a["out"], F.when(e["start"] >= a["at"], F.concat(F.substring(text, a["at"] + 1, e["start"] - a["at"]), F.lit(mask))).otherwise("")).alias("out"), e["stop"].alias("at"))),
+        lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))),
+    )
+    changed = F.when(F.col("__edits").isNull(), text).otherwise(done)
+    out = joined.withColumn(text_col, changed)
+    if "n_chars" in columns:
+        out = out.withColumn("n_chars", F.when(F.col("__edits").isNull(), F.col("n_chars")).otherwise(F.length(text_col).cast(docs.schema["n_chars"].dataType)))
+    return out.select(*columns)
