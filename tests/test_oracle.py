@@ -3,7 +3,7 @@
 import pytest
 
 from tests.oracle import connect, rows_of, rows_of_sql
-from tidelog.plans import aggregates, feeds, read_write, registry, sessions  # noqa: F401
+from tidelog.plans import aggregates, attributes, feeds, read_write, registry, sessions  # noqa: F401
 
 MAY_BE_EMPTY = {"dur_timeout", "scan_get_by_seqno", "scan_by_seqno", "scan_history", "failover_asof", "kv_getif_meta", "write_add", "write_replace", "write_cas_status"}
 
