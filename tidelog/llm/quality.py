@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -135,8 +136,16 @@ def _slot(name: str) -> int:
     return xxhash.xxh64_intdigest(name.encode("utf-8", "surrogatepass"), 0) & (DIMENSIONS - 1)
 
 
+@lru_cache(maxsize=1 << 16)
+def _shape_slot(shape: str) -> int:
+    return _slot("s:" + shape)
+
+
 def token_slots(token: str) -> tuple[int, int]:
-    return _slot("w:" + token.lower()[:64]), _slot("s:" + _shape(token[:64]))
+    """Of the lower-cased token and of its shape. Most tokens are all letters, whose shape needs no pattern."""
+    short = token[:64]
+    shape = ("A" if len(short) > 1 and short.isupper() else "a") if short.isalpha() else _shape(short)
+    return _slot("w:" + token.lower()[:64]), _shape_slot(shape)
 
 
 def whole_slots(f: Facts) -> list[int]:
@@ -176,7 +185,7 @@ def fit_scorer(texts: list[str], labels: np.ndarray) -> tuple[np.ndarray, float]
 
 
 #: Tokens whose part of the score is kept in each worker.
-CACHE_TOKENS = 300_000
+CACHE_TOKENS = 1_000_000
 
 
 def make_scorer(weights: np.ndarray, bias: float) -> Callable[[str, list[str], Facts], float]:
@@ -252,16 +261,18 @@ def score(docs: DataFrame, model: QualityModel, text_col: str = "text") -> DataF
     weights, bias, labels = model.weights, model.bias, model.labels
 
     @F.pandas_udf("pattern string, posterior double, score double")
-    def judge(texts: pd.Series) -> pd.DataFrame:
-        scorer, posteriors, rows = make_scorer(weights, bias), {}, []
-        for t in texts:
-            tokens = t.split()
-            f = facts(t, tokens)
-            p = votes(f)
-            if p not in posteriors:
-                posteriors[p] = labels.posterior(p)
-            rows.append((p, posteriors[p], scorer(t, tokens, f)))
-        return pd.DataFrame(rows, columns=["pattern", "posterior", "score"])
+    def judge(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        scorer, posteriors = make_scorer(weights, bias), {}
+        for texts in batches:
+            rows = []
+            for t in texts:
+                tokens = t.split()
+                f = facts(t, tokens)
+                p = votes(f)
+                if p not in posteriors:
+                    posteriors[p] = labels.posterior(p)
+                rows.append((p, posteriors[p], scorer(t, tokens, f)))
+            yield pd.DataFrame(rows, columns=["pattern", "posterior", "score"])
 
     return docs.withColumn("quality_result", judge(_text(text_col)))
 
