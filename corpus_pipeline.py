@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidelog.llm import mixing, packing, quality, secrets, vptree
+from tidelog.llm import mixing, near, packing, quality, secrets
 from tidelog.llm.common import materialize
 
 
@@ -18,8 +18,8 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest id stays."""
-    return vptree.keep_one(docs, vptree.near_duplicates(docs))
+    """Of each group of near copies (five-word Jaccard similarity of at least 0.8) the document with the smallest id stays."""
+    return near.keep_first(docs, near.near_copies(docs))
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
