@@ -39,11 +39,15 @@ def replace(ops: DataFrame, state: DataFrame, as_of: int) -> DataFrame:
     return ops.join(state.where(live(as_of)).select("cid", "key"), ["cid", "key"], "left_semi")
 
 
+def cas_verdict() -> Column:
+    """status of a conditional write from op_cas, have (the document's cas, null if absent) and alive."""
+    return F.when(F.col("have").isNull() | ~F.col("alive"), F.when(F.col("op_cas") == 0, "success").otherwise("no_such_key")).when((F.col("op_cas") == 0) | (F.col("op_cas") == F.col("have")), "success").otherwise("key_already_exists")
+
+
 def cas_status(ops: DataFrame, state: DataFrame, as_of: int) -> DataFrame:
     """status of a conditional write: op_cas against the document's cas."""
     have = state.select("cid", "key", F.col("cas").alias("have"), live(as_of).alias("alive"))
-    status = F.when(F.col("have").isNull() | ~F.col("alive"), F.when(F.col("op_cas") == 0, "success").otherwise("no_such_key")).when((F.col("op_cas") == 0) | (F.col("op_cas") == F.col("have")), "success").otherwise("key_already_exists")
-    return ops.join(have, ["cid", "key"], "left").withColumn("status", status)
+    return ops.join(have, ["cid", "key"], "left").withColumn("status", cas_verdict())
 
 
 def touch_runs(log: DataFrame) -> DataFrame:
