@@ -23,7 +23,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Live-looking credentials of a single owner are masked; every document stays."""
+    """Random-looking credentials of fewer owners than a shared value has are masked; every document stays."""
     return secrets.mask_live(docs)
 
 

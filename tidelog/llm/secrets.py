@@ -17,6 +17,9 @@ SHORTEST_VALUE = 6
 #: A value of this many owners is a widely copied example; a live-looking one has one owner and this many different characters.
 SHARED_OWNERS, LIVE_OWNERS, LIVE_CHARACTERS, LIVE_LENGTH = 3, 1, 8, 16
 
+#: Different characters of an assigned value below LIVE_LENGTH that is masked.
+SHORT_CHARACTERS = 5
+
 
 def _matches(text: Column, kind: str, pattern: str) -> Column:
     """array<struct<kind, at, gap, match>>: each match and the number of characters between it and the one before."""
@@ -46,6 +49,17 @@ def ownership(found: DataFrame) -> DataFrame:
     return owner.groupBy("hash").agg(F.count("*").alias("owners"), F.sum("repositories").alias("repositories"), F.sum("n").alias("occurrences"))
 
 
+def random_looking(value: Column, least: int = LIVE_LENGTH, different: int = LIVE_CHARACTERS) -> Column:
+    return (F.length(value) >= least) & (F.size(F.array_distinct(F.split(value, ""))) >= different) & value.rlike("[0-9]")
+
+
+def to_mask() -> Column:
+    """Of a span: fewer owners than a shared value has, and a random-looking value, or a shorter assigned one with letters too."""
+    value = F.col("value")
+    short = (F.col("kind") == "assign") & random_looking(value, SHORTEST_VALUE, SHORT_CHARACTERS) & value.rlike("[A-Za-z]")
+    return (F.col("owners") < SHARED_OWNERS) & (random_looking(value) | short)
+
+
 def scan(docs: DataFrame, *, text_col: str = "text", owner: Column | None = None, repository: Column | None = None, keep: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """(rows, spans): rows has the columns of docs but the text (or `keep`, of which the first numbers the rows), and `row`; spans has row, kind, start, stop, value, owners, repositories, occurrences, verdict.
 
@@ -63,8 +77,7 @@ def scan(docs: DataFrame, *, text_col: str = "text", owner: Column | None = None
     read = materialize(read, "scanned")
     found = materialize(candidates(read).withColumn("hash", F.sha2("value", 256)), "candidates")
     frequency = materialize(ownership(found), "ownership")
-    random_looking = (F.length("value") >= LIVE_LENGTH) & (F.size(F.array_distinct(F.split("value", ""))) >= LIVE_CHARACTERS) & F.col("value").rlike("[0-9]")
-    verdict = F.when(F.col("owners") >= SHARED_OWNERS, "shared").when((F.col("owners") <= LIVE_OWNERS) & random_looking, "live").otherwise("unsure")
+    verdict = F.when(F.col("owners") >= SHARED_OWNERS, "shared").when((F.col("owners") <= LIVE_OWNERS) & random_looking(F.col("value")), "live").otherwise("unsure")
     spans = found.join(frequency.hint("merge"), "hash").select("row", "kind", "start", "stop", "value", "owners", "repositories", "occurrences", verdict.alias("verdict"))
     return read.select("row", "doc.*"), spans
 
@@ -91,16 +104,18 @@ def secret_report(docs: DataFrame, **options) -> DataFrame:
 
 
 def mask_live(docs: DataFrame, *, text_col: str = "text", mask: str = "[secret]") -> DataFrame:
-    """docs with each live value replaced by `mask` and n_chars brought up to date; shared and unsure values stay, and so does every row.
+    """docs with each value of to_mask() replaced by `mask` and n_chars brought up to date; shared and plain values stay, and so does every row.
+
+    More is masked than the report calls live: values of two owners, and assigned ones too short for that verdict.
 
-    Overlapping live values are masked as one. The edits of a row travel to it by its row number; texts without edits are
+    Overlapping values are masked as one. The edits of a row travel to it by its row number; texts without edits are
     untouched.
     """
     columns = docs.columns
     numbered = docs.withColumn("__row", F.monotonically_increasing_id())
     numbered = materialize(numbered, "numbered")
     _, spans = scan(numbered, text_col=text_col, keep=["__row"])
-    live = spans.where("verdict = 'live'").select(F.col("row").alias("__row"), (F.col("stop") - F.length("value")).cast("int").alias("start"), F.col("stop").cast("int").alias("stop"))
+    live = spans.where(to_mask()).select(F.col("row").alias("__row"), (F.col("stop") - F.length("value")).cast("int").alias("start"), F.col("stop").cast("int").alias("stop"))
     edits = materialize(live.groupBy("__row").agg(F.array_sort(F.collect_set(F.struct("start", "stop"))).alias("__edits")), "edits")
     joined = small_join(numbered, edits, "__row")
     text = F.col(text_col)
