@@ -127,6 +127,10 @@ def fit_label_model(counts: dict[str, int]) -> LabelModel:
     return LabelModel(prior, likelihood)
 
 
+#: Most characters of a token's piece.
+PIECE = 64
+
+
 def _shape(token: str) -> str:
     """Letters and digits by case and kind, runs of one kind as one; other characters stay."""
     return _DIGIT_RUNS.sub("0", _LETTER_RUNS.sub(lambda m: "A" if len(m[0]) > 1 and m[0].isupper() else "a", token))
@@ -141,11 +145,18 @@ def _shape_slot(shape: str) -> int:
     return _slot("s:" + shape)
 
 
+def pieces(tokens: list[str]) -> list[str]:
+    """The tokens, those of over PIECE characters cut into runs of as many, all of which count."""
+    if max(map(len, tokens), default=0) <= PIECE:
+        return tokens
+    return [t[k : k + PIECE] for t in tokens for k in range(0, len(t), PIECE)]
+
+
 def token_slots(token: str) -> tuple[int, int]:
     """Of the lower-cased token and of its shape. Most tokens are all letters, whose shape needs no pattern."""
-    short = token[:64]
+    short = token[:PIECE]
     shape = ("A" if len(short) > 1 and short.isupper() else "a") if short.isalpha() else _shape(short)
-    return _slot("w:" + token.lower()[:64]), _shape_slot(shape)
+    return _slot("w:" + token.lower()[:PIECE]), _shape_slot(shape)
 
 
 def whole_slots(f: Facts) -> list[int]:
@@ -160,9 +171,10 @@ WHOLE_WEIGHT = 0.2
 def features(text: str) -> dict[int, float]:
     tokens = text.split()
     out: Counter[int] = Counter()
-    for token, c in Counter(tokens).items():
+    parts = pieces(tokens)
+    for token, c in Counter(parts).items():
         for k in token_slots(token):
-            out[k] += c / len(tokens)
+            out[k] += c / len(parts)
     for k in whole_slots(facts(text, tokens)):
         out[k] += WHOLE_WEIGHT
     return out
@@ -195,14 +207,14 @@ def make_scorer(weights: np.ndarray, bias: float) -> Callable[[str, list[str], F
         if len(kept) > CACHE_TOKENS:
             kept.clear()
         total = 0.0
-        for t in tokens:
+        parts = pieces(tokens)
+        for t in parts:
             part = kept.get(t)
             if part is None:
                 part = float(sum(weights[k] for k in token_slots(t)))
-                if len(t) <= 64:
-                    kept[t] = part
+                kept[t] = part
             total += part
-        z = bias + total / max(1, len(tokens)) + WHOLE_WEIGHT * float(sum(weights[k] for k in whole_slots(f)))
+        z = bias + total / max(1, len(parts)) + WHOLE_WEIGHT * float(sum(weights[k] for k in whole_slots(f)))
         return float(1 / (1 + np.exp(-min(30.0, max(-30.0, z)))))
 
     return score
