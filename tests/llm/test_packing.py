@@ -1,10 +1,12 @@
+import gc
+import random
 import zlib
 
 import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
-from tidelog.llm import packing
+from tidelog.llm import packing, wordbpe
 
 
 def expected(rows, length=4096):
@@ -44,6 +46,56 @@ def test_ids_are_those_of_the_library():
     assert list(t.ids(texts)) == t.whole(texts)
 
 
+def test_every_plain_character_and_its_neighbours():
+    """Each character alone, doubled, and next to a letter, a digit and a sign; then random Latin words."""
+    t = packing._tokenizer(packing.default_tokenizer())
+    plain = [c for c in map(chr, range(0x21, 0x250)) if wordbpe.PLAIN.match(c)]
+    texts = [x for c in plain for x in (c, c + c, f"a{c}", f"{c}a", f"a{c}b", f"1{c}", f"{c}1", f"-{c}", f"{c}'s", f"é{c}ö", f"x{c}-{c}y")]
+    assert len(plain) > 200 and list(t.ids(texts)) == t.whole(texts)
+    rng = random.Random(5)
+    texts = ["".join(rng.choice(plain + [" ", "'s"]) for _ in range(rng.randint(1, 60))) for _ in range(4000)] + ["un cœur simple, la sœur et l'œuvre: Bœuf manœuvre ŧŦ"]
+    assert list(t.ids(texts)) == t.whole(texts)
+    assert gc.isenabled()
+
+
+def plain_best_two_fit(lengths, capacity):
+    """Total lengths of the bins, by lists alone: greedy largest fit, then one piece against the best pair, again and again."""
+    left, bins = sorted(lengths), []
+    while left:
+        own = []
+        while True:
+            fits = [x for x in left if x <= capacity - sum(own)]
+            if not fits:
+                break
+            own.append(max(fits))
+            left.remove(max(fits))
+        while sum(own) < capacity and len(own) > 1 and left:
+            small, room = min(own), capacity - sum(own) + min(own)
+            pairs = [left[i] + left[j] for i in range(len(left)) for j in range(i) if small < left[i] + left[j] <= room]
+            if not pairs:
+                break
+            i, j = next((i, j) for i in range(len(left)) for j in range(len(left)) if i != j and left[i] + left[j] == max(pairs))
+            a, b = left[i], left[j]
+            own.remove(small)
+            own += [a, b]
+            left.remove(a)
+            left.remove(b)
+            left = sorted([*left, small])
+        bins.append(sum(own))
+    return bins
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_against_plain_best_two_fit(seed):
+    """Bins may differ where pairs tie, so the first bins' fill and the number of bins are compared."""
+    rng = np.random.default_rng(100 + seed)
+    lengths = rng.integers(1, 60, int(rng.integers(2, 60)))
+    number, _ = packing.best_two_fit(lengths, 100)
+    want = plain_best_two_fit(lengths.tolist(), 100)
+    fill = np.bincount(number, lengths)
+    assert fill[0] == want[0] and abs(len(fill) - len(want)) <= 1 and fill.sum() == sum(want)
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_best_two_fit(seed):
     rng = np.random.default_rng(seed)
