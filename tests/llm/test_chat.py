@@ -46,6 +46,33 @@ def test_templates_that_rewrite_history():
     assert "".join(own.formatted[a:b] for a, b in own.turns) == own.formatted
 
 
+def test_masks_after_a_rewrite():
+    """Whatever a template rewrites, the spans hold the texts of the last output, or the conversation is refused."""
+    turns = [("assistant" if k % 2 else "user", f"text {k}" * (k % 4)) for k in range(12)]
+    wanted = [t for _, t in turns]
+    headers = {
+        "count": lambda m: f"[{len(m)} turns]" + "".join(f"({r}:{t})" for r, t in m),
+        "letters": lambda m: f"[{sum(len(t) for _, t in m)} letters]" + "".join(f"({r}:{t})" for r, t in m),
+        "newest first": lambda m: "".join(f"({r}:{t})" for r, t in reversed(m)),
+        "last marked": lambda m: "".join(f"{'>' * (k == len(m) - 1)}({r}:{t})" for k, (r, t) in enumerate(m)),
+    }
+    for name, template in headers.items():
+        found = chat.locate(template, turns)
+        assert [found.formatted[a:b] for a, b in found.texts] == wanted, name
+        loss = chat.conversation(1, turns, template)["loss_spans"]
+        assert [found.formatted[a:b] for a, b in loss] == wanted[1::2], name
+    forgetful = chat.locate(lambda m: "".join(f"({t})" for _, t in m[-2:]), turns)
+    assert [forgetful.formatted[a:b] for a, b in forgetful.texts] == [""] * 10 + wanted[10:]
+    with pytest.raises(ValueError, match="turn 0"):
+        chat.locate(lambda m: f"[{hash(m[0][1])}]" + "".join(f"({t})" for _, t in m), turns[1:])
+
+
+def test_a_probe_that_the_texts_hold():
+    turns = [(chat.PROBE, "a"), ("assistant", chat.PROBE * 2 + "b")]
+    found = chat.locate(chat.render, turns)
+    assert [found.formatted[a:b] for a, b in found.texts] == [t for _, t in turns]
+
+
 def test_sql(spark, sf):
     name = "op9_prefix_rendering"
     assert rows_of(queries.QUERIES[name](spark, sf)) == rows_of_sql(connect(sf), queries.ORACLE_SQL[name])

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 Messages = list[tuple[str, str]]
-#: A character of a private area that stands in for a turn's text to find where it goes.
+#: The first of the characters that stand in for a turn's text to find where it goes.
 PROBE = ""
 
 # The template's marks, and strings that some template gives a meaning. Inside texts they are broken up.
@@ -68,29 +68,59 @@ def _common(a: str, b: str) -> int:
     return lo
 
 
+def _probe(messages: Messages) -> str:
+    """A character of a private area that no role or text holds."""
+    used = set().union(*(set(role) | set(text) for role, text in messages))
+    return next(c for c in map(chr, range(ord(PROBE), 0xF8FF)) if c not in used)
+
+
+def _place(template: Callable[[Messages], str], messages: Messages, out: str, k: int, probe: str, start: int) -> tuple[int, int] | None:
+    """Where turn k's text stands in out = template(messages): the probe, as long as the text, takes its place and all around stays.
+
+    None if something else changes too. A text that is empty, or left out of the output, may be empty at `start`.
+    """
+    role, text = messages[k]
+    for size in {len(text) or 1, 1}:
+        probed = template([*messages[:k], (role, probe * size), *messages[k + 1 :]])
+        at = probed.find(probe)
+        if at < 0:
+            return start, start
+        rest = len(probed) - probed.rfind(probe) - 1
+        if out[:at] == probed[:at] and at + rest <= len(out) and out[len(out) - rest :] == probed[len(probed) - rest :]:
+            return at, len(out) - rest
+    return None if text else (start, start)
+
+
 def locate(template: Callable[[Messages], str], messages: Messages) -> Rendered:
     """Renders each prefix of the turns and compares it with the one before.
 
     What a prefix's output has beyond the previous output is the turn's span. If the previous output is no longer there,
-    the template rewrites history: the turn is listed, and its span starts where the outputs part. The text's place in a
-    span is found by rendering the turn with a probe for its text. A text that the template changes in other ways than
-    character by character, or leaves out, has the span of what stands between its header and its footer.
+    the template rewrites history: the turn is listed, its span starts where the outputs part, and every earlier turn whose
+    text stood beyond that point is looked for anew in the last output, its span then being that of its text. A text's
+    place is found by rendering the turn with a probe for its text; a text that the template trims or escapes has the span
+    of what stands between its header and its footer, one that it leaves out an empty one. ValueError if a text's place
+    cannot be told in the last output, for instance because a header depends on what the text says.
     """
     before, turns, texts, rewrites = "", [], [], []
-    for k, (role, _) in enumerate(messages):
-        out = template(messages[: k + 1])
+    probe, lost = _probe(messages), set()
+    for k in range(len(messages)):
+        own = messages[: k + 1]
+        out = template(own)
         start = len(before)
         if not out.startswith(before):
             start = _common(before, out)
             rewrites.append((k, start))
-        probed = template([*messages[:k], (role, PROBE)])
-        at = probed.find(PROBE, max(0, start - 1))
-        if at < 0 or out[:at] != probed[:at]:
-            texts.append((start, start))
-        else:
-            texts.append((at, max(at, len(out) - (len(probed) - at - len(PROBE)))))
+            lost |= {j for j in range(k) if j in lost or texts[j] is None or texts[j][1] > start}
+        texts.append(_place(template, own, out, k, probe, start))
+        if texts[k] is None:
+            lost.add(k)
         turns.append((start, len(out)))
         before = out
+    for k in sorted(lost):
+        texts[k] = _place(template, messages, before, k, probe, 0)
+        if texts[k] is None:
+            raise ValueError(f"the template does not show where the text of turn {k} stands")
+        turns[k] = texts[k]
     return Rendered(before, turns, texts, rewrites)
 
 
@@ -173,5 +203,7 @@ def adversarial(rows: DataFrame) -> DataFrame:
 
 
 def chat_report(rows: DataFrame) -> DataFrame:
+    """REPORT of all conversations of rows and of adversarial(). Null texts and roles are empty, rows that repeat are turns
+    of their own, other columns are not read; an empty table gives conversation -1 alone."""
     own = rows.select("conv_id", "turn", "role", "text")
     return read_back(format_conversations(own.unionByName(adversarial(own))))

@@ -19,6 +19,8 @@ RATE_DECIMALS, RATE_DIGITS = 3, 4
 PLAIN_RATES = (0.1, 10.0)
 #: From this mean a table starts so many standard deviations below it; what lies further down is under 2**-UNIFORM_BITS.
 LARGE_MEAN, SPREAD = 1_000, 12
+#: Rows with one key are dealt to so many places.
+SALTS = 64
 #: Bits of the uniform number that a document's hash gives.
 UNIFORM_BITS = 52
 
@@ -59,9 +61,9 @@ def rounded_rate(rate: Column) -> Column:
     return F.when(rate <= 0, 0.0).when(plain, F.round(rate, RATE_DECIMALS)).otherwise(F.round(rate * digits, 0) / digits)
 
 
-def uniform(doc_id: Column, copy_of: Column, seed: int = SEED) -> Column:
-    """The leading UNIFORM_BITS bits of the MD5 of seed, doc_id and a distinguishing text, as a long."""
-    key = F.concat_ws(":", F.lit(str(seed)), F.coalesce(doc_id.cast("string"), F.lit("null")), copy_of)
+def uniform(identity: Column, copy_of: Column, seed: int = SEED) -> Column:
+    """The leading UNIFORM_BITS bits of the MD5 of seed, a document's identity and a distinguishing text, as a long."""
+    key = F.concat_ws(":", F.lit(str(seed)), identity, copy_of)
     return F.conv(F.substring(F.md5(key), 1, UNIFORM_BITS // 4), 16, 10).cast("long")
 
 
@@ -92,8 +94,9 @@ def poisson_mix(docs: DataFrame, *, weights: Mapping[str, float] | None = None,
 
     A document's count is the Poisson quantile, at its source's rate, of a uniform number hashed from seed and doc_id. Each
     copy gets a key hashed from seed, doc_id and copy; copies are dealt to partitions by it and sorted by it there, so a
-    third of all rows in one source or one document's many copies spread like any other. Rows that repeat or lack an id
-    have the same count and keys. The quantile tables belong to sources; they are joined by a broadcast if few, else by a
+    third of all rows in one source or one document's many copies spread like any other. Rows that repeat
+    or lack an id have the same count and keys, and are dealt out by their place in the input too. docs needs doc_id and
+    source; an empty table gives no rows. The quantile tables belong to sources; they are joined by a broadcast if few, else by a
     shuffle of counts that adaptive execution may split.
     """
     names = docs.columns
@@ -101,13 +104,13 @@ def poisson_mix(docs: DataFrame, *, weights: Mapping[str, float] | None = None,
     distinct = [float(r["rate"]) for r in rates.select("rate").distinct().orderBy("rate").collect()]
     tables = docs.sparkSession.createDataFrame([(r, poisson_start(r), poisson_steps(r)) for r in distinct], "rate double, start int, steps array<bigint>")
     rates = materialize(rates.join(F.broadcast(tables), "rate").select(F.col("mix").alias("__mix"), "start", "steps"), "rates")
-    own = docs.select(F.struct(*names).alias("__doc"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("__mix"), F.col("doc_id").alias("__id"))
+    own = docs.select(F.struct(*names).alias("__doc"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("__mix"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias("__id"), F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).alias("__salt"))
     drawn = small_join(own, rates, "__mix").withColumn("__u", uniform(F.col("__id"), F.lit("count"), seed))
     count = F.coalesce(F.col("start") + F.size(F.filter("steps", lambda x: x <= F.col("__u"))), F.lit(0))
-    counted = drawn.select("__doc", "__id", count.alias("__n")).where("__n > 0")
-    each = counted.select("__doc", "__id", "__n", F.explode(F.sequence(F.lit(0), F.col("__n") - 1)).alias("__k"))
+    counted = drawn.select("__doc", "__id", "__salt", count.alias("__n")).where("__n > 0")
+    each = counted.select("__doc", "__id", "__salt", "__n", F.explode(F.sequence(F.lit(0), F.col("__n") - 1)).alias("__k"))
     keyed = each.withColumn("__key", uniform(F.col("__id"), F.concat(F.lit("copy:"), F.col("__k").cast("string")), seed))
-    dealt = keyed.repartition("__key").sortWithinPartitions("__key")
+    dealt = keyed.repartition("__key", "__salt").sortWithinPartitions("__key")
     used = set(names)
     extra = [("copy", "__k"), ("n_copies", "__n"), ("shuffle_key", "__key")]
     return dealt.select(*[F.col("__doc")[c].alias(c) for c in names], *[F.col(c).alias(n if n not in used else f"mix_{n}") for n, c in extra])

@@ -100,14 +100,17 @@ ORACLE_SQL: dict[str, str] = {
     "op6_poisson_mixing": """
         WITH s AS (SELECT coalesce(source, '') AS mix, count(*) AS n FROM documents GROUP BY 1),
         t AS (SELECT sum(n)::DOUBLE AS total, sum(round(sqrt(n::DOUBLE), 6)::DECIMAL(38, 6))::DOUBLE AS weight FROM s),
-        r AS (SELECT mix, round(least(8.0::DOUBLE, sqrt(n::DOUBLE) * total / weight / n), 3) AS rate FROM s, t),
-        c AS (SELECT mix, k, sum(exp(-rate) * pow(rate, k) / factorial(k::INTEGER)::DOUBLE) OVER (PARTITION BY mix ORDER BY k) AS cdf FROM r, range(0, 33) AS g(k)),
+        w AS (SELECT mix, sqrt(n::DOUBLE) * total / weight / n AS exact FROM s, t),
+        r AS (SELECT mix, CASE WHEN exact >= 0.1 AND exact < 10 THEN round(exact, 3) ELSE round(exact * pow(10.0, 3 - floor(log10(exact))), 0) / pow(10.0, 3 - floor(log10(exact))) END AS rate FROM w),
+        g AS (SELECT mix, rate, unnest(range(0, (rate + 12 * sqrt(rate) + 40)::BIGINT)) AS k FROM r),
+        c AS (SELECT mix, k, sum(exp(k * ln(rate) - rate - lgamma(k + 1.0))) OVER (PARTITION BY mix ORDER BY k) AS cdf FROM g),
         q AS (SELECT mix, list(floor(cdf * 4503599627370496)::BIGINT ORDER BY k) AS steps FROM c GROUP BY 1),
-        d AS (SELECT documents.*, ('0x' || substr(md5('17:' || coalesce(doc_id::VARCHAR, 'null') || ':count'), 1, 13))::BIGINT AS u FROM documents),
+        i AS (SELECT *, coalesce(doc_id::VARCHAR, 'null') AS id FROM documents),
+        d AS (SELECT *, ('0x' || substr(md5('17:' || id || ':count'), 1, 13))::BIGINT AS u FROM i),
         e AS (SELECT d.*, len(list_filter(steps, lambda x: x <= u))::INTEGER AS n_copies FROM d JOIN q ON q.mix = coalesce(d.source, '')),
         f AS (SELECT *, unnest(range(0, n_copies))::INTEGER AS copy FROM e)
         SELECT doc_id, text, lang, source, n_chars, copy, n_copies,
-            ('0x' || substr(md5('17:' || coalesce(doc_id::VARCHAR, 'null') || ':copy:' || copy::VARCHAR), 1, 13))::BIGINT AS shuffle_key
+            ('0x' || substr(md5('17:' || id || ':copy:' || copy::VARCHAR), 1, 13))::BIGINT AS shuffle_key
         FROM f""",
     "op9_prefix_rendering": r"""
         WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
