@@ -1,4 +1,6 @@
-from pyspark.sql import functions as F
+import random
+
+import numpy as np
 
 import corpus_pipeline
 from tests.llm.conftest import DOCS
@@ -38,6 +40,32 @@ def test_repeated_and_null_ids(spark):
     assert [(r.doc_id, r.text) for r in kept(spark, nulls).collect()] == [(None, text(4))]
 
 
-def test_bands_give_all_pairs_of_small_groups(spark):
-    keyed = spark.createDataFrame([(k, list(range(near.BANDS))) for k in range(6)], "node long, keys array<long>")
-    assert near.candidate_pairs(keyed).where(F.col("a") < F.col("b")).count() == 15
+def test_against_all_pairs(spark):
+    """Texts of shared words and many edits: the rows that stay are one of each component of the exact pairs, for pairs that are candidates."""
+    rng = random.Random(2)
+    rows, base = [], [[f"w{rng.randrange(400)}" for _ in range(rng.randint(90, 250))] for _ in range(12)]
+    for i in range(240):
+        words = list(base[i % 12])
+        for _ in range(rng.randint(0, 7)):
+            words[rng.randrange(len(words))] = f"new{rng.randrange(50)}"
+        rows.append((i, " ".join(words)))
+    cut = [near.shingles(near.normal(t)) for _, t in rows]
+    hashes = near.WordHashes()
+    fps = np.array([near.word_fingerprints(near.normal(t), hashes) for _, t in rows])
+    to, true, met = list(range(len(rows))), 0, 0
+
+    def root(i):
+        while to[i] != i:
+            i = to[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if near.similarity(cut[i], cut[j]) >= near.SIMILAR:
+                candidate = bool((np.bitwise_count(fps[i] ^ fps[j]) <= near.RADIUS).any())
+                true, met = true + 1, met + candidate
+                if candidate:
+                    a, b = sorted((root(i), root(j)))
+                    to[b] = a
+    assert true > 300 and met / true > 0.95
+    assert sorted(r.doc_id for r in kept(spark, rows).collect()) == sorted({root(i) for i in range(len(rows))})

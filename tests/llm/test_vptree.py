@@ -84,7 +84,7 @@ def test_no_pair_is_lost_by_the_tree(sample):
 def test_links_on_clusters(spark):
     fps = clustered(400, 5)
     df = spark.createDataFrame([(int(f),) for f in fps.view(np.int64)], "fp long")
-    links = vptree.hamming_links(df, sample=64, leaf=8)
+    links = vptree.hamming_links(df, sample=64, rows=40)
     got = {r.node: r.component for r in connected_components(links).collect()}
     want = components([(k, int(f)) for k, f in enumerate(fps)])
     groups = {}
@@ -102,8 +102,55 @@ def test_components_of_chains_and_stars(spark):
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
-def test_keep_one(odd):
-    kept = vptree.keep_one(odd, vptree.near_duplicates(odd))
-    assert kept.columns == odd.columns
-    ids = [r.doc_id for r in kept.collect()]
-    assert ids.count(6) == 1 and 7 not in ids and 2 not in ids and ids.count(None) == 2 and 9 in ids
+@pytest.mark.parametrize("seed", [1, 2])
+def test_pairs_in_a_shard(seed):
+    """Against all pairs: the forest joins up the same, with and without labels, and all_pairs finds every one."""
+    fps = clustered(900, seed)
+    home = np.arange(len(fps)) % 5 > 0
+    near = (np.bitwise_count(fps[:, None] ^ fps[None]) <= 3) & (home[:, None] | home[None])
+    for label in (np.arange(len(fps)), np.arange(len(fps)) // 3):
+        want = {(i, j) for i, j in np.argwhere(near).tolist() if label[i] != label[j]}
+        a, b = vptree.all_pairs(fps, home, 3, label)
+        got = set(zip(a.tolist(), b.tolist(), strict=True))
+        assert got | {(j, i) for i, j in got} == want
+        x, y = vptree.forest(fps, home, 3, label)
+        links = set(zip(x.tolist(), y.tolist(), strict=True))
+        assert partition(label, want) == partition(label, links) and len(links) <= len(want)
+
+
+def partition(label, pairs):
+    """The smallest label of each label's group."""
+    to = {k: k for k in label.tolist()}
+
+    def root(k):
+        while to[k] != k:
+            k = to[k]
+        return k
+
+    for i, j in pairs:
+        a, b = sorted((root(label[i]), root(label[j])))
+        to[b] = a
+    return {k: root(k) for k in to}
+
+
+def test_copies_of_a_fingerprint_stay_few():
+    """What is shuffled for random fingerprints, by the tree for so many: flat up to SHARDS * SHARD_ROWS[1], then slowly more."""
+    rng = np.random.default_rng(3)
+    fps = rng.integers(0, 1 << 64, 4000, dtype=np.uint64)
+    copies = {}
+    for total in (200_000, 2_000_000, 20_000_000, 200_000_000):
+        nodes = vptree.build_tree(rng.integers(0, 1 << 64, 8192, dtype=np.uint64), total, vptree.shard_rows(total))
+        copies[total] = len(vptree.route(nodes, fps)[0]) / len(fps)
+    assert copies[200_000] < 4 and copies[20_000_000] < 6 and copies[200_000_000] < 12
+
+
+def test_a_dense_group_keeps_its_shards_small():
+    """A third of all within a few bits of one: bits that vary in the group divide it, and copies stay few."""
+    rng = np.random.default_rng(4)
+    centre = int(rng.integers(0, 1 << 63))
+    dense = np.array([centre ^ sum(1 << int(b) for b in rng.choice(64, rng.integers(1, 9), replace=False)) for _ in range(20_000)], np.uint64)
+    fps = np.unique(np.r_[rng.integers(0, 1 << 64, 40_000, dtype=np.uint64), dense])
+    nodes = vptree.build_tree(rng.permutation(fps)[:8192], len(fps), 1000)
+    shard, _, home = vptree.route(nodes, fps)
+    _, at = np.unique(shard, return_inverse=True)
+    assert np.bincount(at[home]).max() < 6000 and len(shard) < 12 * len(fps)

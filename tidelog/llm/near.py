@@ -1,27 +1,26 @@
-"""Near copies of texts: MinHash bands over five-word shingles propose pairs, exact Jaccard similarity decides."""
+"""Near copies of texts: vantage-point trees over word SimHashes propose pairs, exact Jaccard similarity decides."""
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidelog.llm import vptree
 from tidelog.llm.common import materialize, small_join
 from tidelog.llm.graph import connected_components
 
 SEED, SHINGLE, SIMILAR = 42, 5, 0.8
-#: A pair of similarity s meets in a band with s**BAND_ROWS; at 0.8 it misses all bands once in some 2,800 times.
-BANDS, BAND_ROWS = 20, 5
-#: In a band, a text is paired with its band's first text and with so many that follow it.
-NEIGHBOURS = 8
-
-_random = np.random.default_rng(SEED)
-_FACTORS = _random.integers(0, 1 << 63, BANDS * BAND_ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_OFFSETS = _random.integers(0, 1 << 63, BANDS * BAND_ROWS, dtype=np.uint64)
+#: Word fingerprints of a text, each with a tree of its own, and the bits in which those of near copies may differ. Texts of
+#: five-word similarity 0.8 share nearly all their words, so these fingerprints are closer than those of shingles.
+TABLES, RADIUS = 6, 4
+#: Words whose hashes are kept in each worker.
+CACHE_WORDS = 200_000
 
 
 def normal(text: str | None) -> bytes:
@@ -40,67 +39,70 @@ def similarity(a: set[bytes], b: set[bytes]) -> float:
     return both / (len(a) + len(b) - both)
 
 
-def bands(joined: bytes) -> list[int]:
-    """A 64-bit key for each band, of the smallest hashes in it."""
-    hashes = np.array([xxhash.xxh64_intdigest(s, SEED) for s in shingles(joined)], np.uint64)
-    least = np.full(len(_FACTORS), np.iinfo(np.uint64).max, np.uint64)
-    for lo in range(0, len(hashes), 4096):
-        least = np.minimum(least, (hashes[None, lo : lo + 4096] * _FACTORS[:, None] + _OFFSETS[:, None]).min(axis=1))
-    return [xxhash.xxh64_intdigest(row.tobytes(), k) for k, row in enumerate(least.reshape(BANDS, BAND_ROWS))]
+class WordHashes(dict):
+    """64 * TABLES bits of a word, as bytes; made when first asked for."""
 
+    def __missing__(self, word: bytes) -> bytes:
+        if len(self) >= CACHE_WORDS:
+            self.clear()
+        self[word] = b"".join(xxhash.xxh64_intdigest(word, k).to_bytes(8, "little") for k in range(TABLES))
+        return self[word]
 
-def _long(values) -> pa.Array:
-    return pa.array(np.array(values, np.uint64).view(np.int64))
 
+def word_fingerprints(joined: bytes, hashes: WordHashes) -> np.ndarray:
+    """TABLES SimHashes of the words, each weighing the root of its number. Zeros for a text without words."""
+    if not joined:
+        return np.zeros(TABLES, np.uint64)
+    counts = Counter(joined.split(b" "))
+    weight = np.sqrt(np.fromiter(counts.values(), np.float32, len(counts)))
+    total = np.zeros(64 * TABLES, np.float32)
+    words = list(counts)
+    for lo in range(0, len(words), 4096):
+        raw = np.frombuffer(b"".join([hashes[w] for w in words[lo : lo + 4096]]), np.uint8).reshape(-1, 8 * TABLES)
+        total += weight[lo : lo + 4096] @ np.unpackbits(raw, axis=1, bitorder="little")
+    return np.packbits(2 * total > weight.sum(), bitorder="little").view("<u8")
 
-def _signed(docs: DataFrame, text_col: str) -> DataFrame:
-    """doc_id, whole, node: the row's id, a digest of all its columns and a 64-bit hash of its normal text."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            node = _long([xxhash.xxh64_intdigest(normal(t.as_py()), SEED) for t in b.column(2)])
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), node], names=["doc_id", "whole", "node"])
+def _node(joined: bytes) -> int:
+    return xxhash.xxh64_intdigest(joined, SEED)
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole(docs).alias("whole"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, whole string, node long")
 
+def _long(values) -> pa.Array:
+    return pa.array(np.array(values, np.uint64).view(np.int64))
+
+
+def whole(docs: DataFrame) -> Column:
+    """A digest of all columns of a row: rows with the same one are the same."""
+    return F.md5(F.to_json(F.struct(*docs.columns)))
 
-def _keyed(docs: DataFrame, text_col: str) -> DataFrame:
-    """node, keys of its bands: a row for each text, repeats included."""
+
+def _signed(docs: DataFrame, text_col: str) -> DataFrame:
+    """doc_id, whole, node, fps: the row's id, a digest of all its columns, a 64-bit hash of its normal text and its word fingerprints."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
         for b in batches:
-            texts = [normal(t.as_py()) for t in b.column(0)]
-            keys = pa.ListArray.from_arrays(pa.array(range(0, BANDS * len(texts) + 1, BANDS), pa.int32()), _long([k for t in texts for k in bands(t)]))
-            yield pa.RecordBatch.from_arrays([_long([xxhash.xxh64_intdigest(t, SEED) for t in texts]), keys], names=["node", "keys"])
+            node, fps = [], [np.zeros(0, np.uint64)]
+            for t in b.column(2):
+                joined = normal(t.as_py())
+                node.append(_node(joined))
+                fps.append(word_fingerprints(joined, hashes))
+            lists = pa.ListArray.from_arrays(pa.array(range(0, TABLES * len(node) + 1, TABLES), pa.int32()), _long(np.concatenate(fps)))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), _long(node), lists], names=["doc_id", "whole", "node", "fps"])
 
-    return docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "node long, keys array<long>")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole(docs).alias("whole"), F.col(text_col).cast("string").alias("text"))
+    return rows.mapInArrow(run, "doc_id long, whole string, node long, fps array<long>")
 
 
 def _texts(docs: DataFrame, text_col: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = [normal(t.as_py()) for t in b.column(0)]
-            yield pa.RecordBatch.from_arrays([_long([xxhash.xxh64_intdigest(t, SEED) for t in texts]), pa.array(texts, pa.binary())], names=["node", "body"])
+            yield pa.RecordBatch.from_arrays([_long([_node(t) for t in texts]), pa.array(texts, pa.binary())], names=["node", "body"])
 
     return docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "node long, body binary")
 
 
-def candidate_pairs(keyed: DataFrame) -> DataFrame:
-    """a < b, first: pairs that share a band. `first` marks those with the band's first text.
-
-    In a band, neighbours are ordered by the key of the next band, so similar ones lie together. Bands of up to
-    NEIGHBOURS + 1 texts give all their pairs; larger ones a number in proportion to their size.
-    """
-    each = keyed.select("node", F.posexplode("keys").alias("t", "key"), "keys").select("node", "t", "key", F.get("keys", F.pmod(F.col("t") + 1, F.lit(BANDS))).alias("o"))
-    order = Window.partitionBy("t", "key").orderBy("o", "node")
-    top = F.first("node").over(order)
-    after = [F.struct(F.lead("node", k).over(order).alias("to"), F.lit(False).alias("first")) for k in range(1, NEIGHBOURS + 1)]
-    met = each.select("node", F.array(F.struct(top.alias("to"), F.lit(True).alias("first")), *after).alias("met"))
-    pairs = met.select("node", F.explode(F.filter("met", lambda m: m["to"].isNotNull() & (m["to"] != F.col("node")))).alias("m"))
-    return pairs.groupBy(F.least("node", "m.to").alias("a"), F.greatest("node", "m.to").alias("b")).agg(F.max("m.first").alias("first"))
-
-
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) whose five-word similarity is at least SIMILAR, exactly. Both sides are written tables."""
 
@@ -115,32 +117,61 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def whole(docs: DataFrame):
-    """A digest of all columns of a row: rows with the same one are the same."""
-    return F.md5(F.to_json(F.struct(*docs.columns)))
+def _ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _hubs(each: DataFrame, turn: int) -> DataFrame:
+    """t, fp, label, node: of all texts with one fingerprint and label, one that a hash of the turn picks."""
+    picked = F.min(F.struct(F.xxhash64(F.lit(turn), "t", "node").alias("h"), "node"))
+    return each.groupBy("t", "fp", "label").agg(picked["node"].alias("node"))
 
 
 def near_copies(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
     """doc_id, whole, node, component for each row: texts joined up by pairs that are equal or at least SIMILAR alike.
 
-    Pairs with a band's first text are verified first. Of the others only those are verified whose ends these links have
-    not joined already, so a large group of near copies costs little more than one comparison a copy and band.
+    Null and blank texts are equal; texts of fewer than five words are one shingle; rows that repeat are one text; an empty
+    table gives no rows. Candidates are texts of which one of TABLES word fingerprints differs in at most RADIUS bits, found
+    in three turns by vptree.search: first a forest over all fingerprints, each held by one of its texts, with every text
+    paired with the holder of its fingerprint; then a forest between what verified pairs left apart, with other holders; then
+    every candidate pair that is still apart. So a group of very many near copies costs a few comparisons a copy, and
+    yet no candidate pair is left out: the third turn tests all whose ends the first two did not join.
     """
     signed = materialize(_signed(docs, text_col), "signed")
-    keyed = materialize(_keyed(docs, text_col).groupBy("node").agg(F.first("keys").alias("keys")), "keyed")
-    pairs = materialize(candidate_pairs(keyed), "pairs")
-    needed = materialize(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "needed")
-    texts = materialize(small_join(_texts(docs, text_col), needed, "node", "inner").dropDuplicates(["node"]), "texts")
-    links = materialize(verified(pairs.where("first"), texts), "links")
-    joined = connected_components(links)
-    open_ = pairs.where("not first").select("a", "b")
-    for end in ("a", "b"):
-        named = joined.select(F.col("node").alias(end), F.col("component").alias(f"{end}_in"))
-        open_ = open_.join(named.hint("merge"), end, "left")
-    open_ = materialize(open_.where(~F.coalesce(F.col("a_in") == F.col("b_in"), F.lit(False))).select("a", "b"), "open")
-    links = materialize(links.union(verified(open_, texts)), "links")
+    items = signed.groupBy("node").agg(F.first("fps").alias("fps")).select("node", F.posexplode("fps").alias("t", "fp"))
+    each = materialize(items.withColumn("label", F.col("fp")), "each")
+    hubs = materialize(_hubs(each, 1), "hubs")
+    held = each.select("t", "fp", F.col("node").alias("a")).join(hubs.select("t", "fp", F.col("node").alias("b")).hint("merge"), ["t", "fp"]).select("a", "b")
+    pairs = materialize(_ordered(vptree.search(hubs, RADIUS, tables=TABLES).union(held)), "pairs")
+    met = materialize(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "met")
+    texts = materialize(small_join(_texts(docs, text_col), met, "node", "inner").dropDuplicates(["node"]), "texts")
+    each = materialize(each.drop("label").join(met.hint("merge"), "node"), "each")
+    links, tested = materialize(verified(pairs, texts), "links"), pairs
+    for turn in (2, 3):
+        component = connected_components(links)
+        labelled = each.join(component.hint("merge"), "node", "left").select("node", "t", "fp", F.coalesce("component", "node").alias("label"))
+        labelled = materialize(labelled, "labelled")
+        hubs = materialize(_hubs(labelled, turn), "hubs")
+        pairs = vptree.search(hubs, RADIUS, tables=TABLES, every_pair=turn == 3)
+        if turn == 3:
+            pairs = _between(materialize(pairs.distinct(), "open"), hubs, labelled)
+        pairs = materialize(_ordered(pairs).join(tested.hint("merge"), ["a", "b"], "left_anti"), "pairs")
+        links = materialize(links.union(verified(pairs, texts)), "links")
+        tested = tested.union(pairs)
     component = connected_components(links)
-    return signed.join(component.hint("merge"), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    return signed.drop("fps").join(component.hint("merge"), "node", "left").withColumn("component", F.coalesce("component", "node"))
+
+
+def _between(pairs: DataFrame, hubs: DataFrame, labelled: DataFrame) -> DataFrame:
+    """a, b: all texts that two holders of open pairs stand for. A holder may stand for several fingerprints; one of each pair is near in one table."""
+    own = labelled.select("t", "fp", "label", F.col("node").alias("member"))
+    group = hubs.select("t", "fp", "label", "node")
+    near = F.bit_count(F.col("x.fp").bitwiseXOR(F.col("y.fp"))) <= RADIUS
+    x, y = group.withColumnRenamed("node", "a").alias("x"), group.withColumnRenamed("node", "b").alias("y")
+    met = pairs.join(x.hint("merge"), "a").join(y.hint("merge"), "b").where((F.col("x.t") == F.col("y.t")) & near)
+    met = met.select(F.col("x.t").alias("t"), F.col("x.fp").alias("fp"), F.col("x.label").alias("label"), F.col("y.fp").alias("to_fp"), F.col("y.label").alias("to_label"))
+    left = met.join(own.withColumnRenamed("member", "a").hint("merge"), ["t", "fp", "label"]).select("t", "a", F.col("to_fp").alias("fp"), F.col("to_label").alias("label"))
+    return left.join(own.withColumnRenamed("member", "b").hint("merge"), ["t", "fp", "label"]).select("a", "b")
 
 
 def keep_first(docs: DataFrame, classes: DataFrame) -> DataFrame:

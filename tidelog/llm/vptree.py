@@ -15,10 +15,17 @@ from tidelog.llm.common import materialize
 from tidelog.llm.graph import connected_components
 
 SEED, SHINGLE, RADIUS = 42, 3, 2
-#: Fingerprints from which the tree is fitted, at most, and about how many fingerprints live in one of its shards.
-SAMPLE, LEAF = 8_192, 32
-#: One in so many fingerprints may be in the sample.
-SAMPLE_RATE = 4
+#: Fingerprints from which a tree is fitted, at most; one in so many may be among them.
+SAMPLE, SAMPLE_RATE = 8_192, 4
+#: A shard holds a SHARDSth of all fingerprints, but no fewer than the first and no more than the second of these numbers, so
+#: up to SHARDS * SHARD_ROWS[1] fingerprints the tree's depth, and with it the copies of each, stay the same.
+SHARDS, SHARD_ROWS = 64, (16_384, 1 << 19)
+#: Fingerprints in a leaf of the tree that a task builds over its shard.
+LEAF = 512
+
+
+def shard_rows(total: int) -> int:
+    return max(SHARD_ROWS[0], min(SHARD_ROWS[1], total // SHARDS))
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
@@ -66,7 +73,7 @@ class Node:
     free: list[int] = field(default_factory=list)
 
 
-def build_tree(sample: np.ndarray, total: int, leaf: int = LEAF) -> list[Node]:
+def build_tree(sample: np.ndarray, total: int, leaf: int) -> list[Node]:
     """A vantage-point tree fitted on a sample of `total` fingerprints.
 
     Distances between 64-bit fingerprints crowd around 32, so whole-width rings of radius 2 overlap nearly everywhere.
@@ -104,9 +111,9 @@ def _best_split(own: np.ndarray, free: list[int], need: int):
     varied = [free[k] for k in np.argsort(np.abs(ones - 0.5), kind="stable") if 0 < ones[k] < 1]
     if not varied:
         return None
-    width = max(1, min(8, len(free) // (need + 1)))
+    width = max(1, len(free) // need - (len(free) // need + 1) % 2)
     best = None
-    for w in sorted({1, max(1, width // 2), width}):
+    for w in sorted({1, width // 2 | 1, width}):
         bits = varied[:w]
         vantage = int(own[0])
         apart = np.bitwise_count((own ^ np.uint64(vantage)) & np.uint64(_mask(bits)))
@@ -121,15 +128,16 @@ def _best_split(own: np.ndarray, free: list[int], need: int):
     return best[1:] if best else None
 
 
-def route(nodes: list[Node], fps: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def route(nodes: list[Node], fps: np.ndarray, radius: int = RADIUS, home: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(shard, row, home): each fingerprint's home shard, and the shards beyond a border within its radius.
 
     Of two fingerprints at most radius apart, one meets the other in the other's home: where their paths part, the one
-    inside crosses to the outside, and from there it goes wherever its radius left allows.
+    inside crosses to the outside, and from there it goes wherever its radius left allows. Those not marked in `home`, if
+    it is given, are guests everywhere.
     """
     out: list[tuple[int, np.ndarray, np.ndarray]] = []
     rows = np.arange(len(fps))
-    todo = [(0, rows, np.full(len(fps), radius, np.int64), np.ones(len(fps), bool))]
+    todo = [(0, rows, np.full(len(fps), radius, np.int64), np.ones(len(fps), bool) if home is None else home)]
     while todo:
         at, idx, left, home = todo.pop()
         node = nodes[at]
@@ -156,7 +164,7 @@ def _sides(fps, idx, left, home, mask: int, vantage: int, cut: int):
 
 def _halve(out, at: int, node: Node, fps, idx, left, home) -> None:
     """Shards that the sample is too small to divide are halved by rule: equal runs of the free bits, cut in the middle."""
-    width = max(1, min(8, len(node.free) // max(1, node.deeper)))
+    width = max(1, len(node.free) // max(1, node.deeper))
     todo = [(0, 1, idx, left, home)]
     while todo:
         level, path, idx, left, home = todo.pop()
@@ -168,54 +176,113 @@ def _halve(out, at: int, node: Node, fps, idx, left, home) -> None:
         todo += [(level + 1, path << 1 | k, *s) for k, s in enumerate(sides) if len(s[0])]
 
 
-def shard_links(home: np.ndarray, guests: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
-    """Links that join up whatever lies within radius in one shard: home to home and home to guest; a spanning forest, not all pairs."""
-    every = np.r_[home, guests]
-    parent = list(range(len(every)))
+def leaves(fps: np.ndarray, home: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(home rows, all rows with the home ones first) of each leaf of a tree over one shard's fingerprints."""
+    own = fps[home]
+    if len(own):
+        nodes = build_tree(own[:: max(1, len(own) // SAMPLE)][:SAMPLE], len(own), LEAF)
+        shard, row, at_home = route(nodes, fps, radius, home)
+        order = np.lexsort((row, ~at_home, shard))
+        shard, row, at_home = shard[order], row[order], at_home[order]
+        edges = np.r_[0, np.flatnonzero(shard[1:] != shard[:-1]) + 1, len(shard)]
+        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            if n := int(at_home[a:b].sum()):
+                yield row[a : a + n], row[a:b]
 
-    def root(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
 
-    a, b = [], []
-    for lo in range(0, len(home), 256):
-        for to in range(lo, len(every), 8192):
-            near = np.bitwise_count(home[lo : lo + 256, None] ^ every[None, to : to + 8192]) <= radius
-            for i, j in zip(*(x.tolist() for x in np.nonzero(near)), strict=True):
-                i, j = root(lo + i), root(to + j)
-                if i != j:
-                    parent[max(i, j)] = min(i, j)
-                    a.append(max(i, j))
-                    b.append(min(i, j))
-    return every[a], every[b]
+def near_blocks(fps: np.ndarray, rows: np.ndarray, every: np.ndarray, radius: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(offset, i, j), in blocks of rows: every[j] is within radius of rows[offset + i]. A fingerprint is near itself."""
+    step = max(1, (1 << 21) // max(1, len(every)))
+    for lo in range(0, len(rows), step):
+        i, j = np.nonzero(np.bitwise_count(fps[rows[lo : lo + step], None] ^ fps[None, every]) <= radius)
+        yield lo, i, j
 
 
-def hamming_links(unique: DataFrame, radius: int = RADIUS, sample: int = SAMPLE, leaf: int = LEAF) -> DataFrame:
-    """(a, b) over distinct fingerprints (column fp, a written table): joins up all that are within radius, exactly.
+def forest(fps: np.ndarray, home: np.ndarray, radius: int = RADIUS, label: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Rows a, b of one shard: links that join up whatever lies within radius, home to home and home to guest.
 
-    The tree is fitted on at most `sample` fingerprints, one in SAMPLE_RATE at most; every fingerprint is routed through
-    it. A shard is one group of a shuffle; its size is bounded by the tree's depth, also within dense groups of near copies.
+    In each leaf they are a forest, not all pairs. Rows of one label, if labels are given, count as joined already.
     """
-    total = unique.count()
-    picked = unique.where(F.pmod(F.xxhash64("fp"), F.lit(SAMPLE_RATE)) == 0).orderBy(F.xxhash64(F.lit(7), "fp"), "fp").limit(sample)
-    nodes = build_tree(np.array([r.fp for r in picked.collect()], np.int64).view(np.uint64), total, leaf)
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+    for rows, every in leaves(fps, home, radius):
+        same = np.arange(len(every)) if label is None else np.unique(label[every], return_inverse=True)[1]
+        for lo, i, j in near_blocks(fps, rows, every, radius):
+            a, b = same[lo + i], same[j]
+            apart = np.flatnonzero(a != b)
+            while len(apart):
+                low, high = np.minimum(a[apart], b[apart]), np.maximum(a[apart], b[apart])
+                top, first = np.unique(high, return_index=True)  # one link for each label: no circles, since the other is smaller
+                found.append((rows[lo + i[apart[first]]], every[j[apart[first]]]))
+                to = np.arange(len(every))
+                to[top] = low[first]
+                while (to[to] != to).any():
+                    to = to[to]
+                same = to[same]
+                a, b = same[lo + i], same[j]
+                apart = np.flatnonzero(a != b)
+    return _joined(found)
+
+
+def all_pairs(fps: np.ndarray, home: np.ndarray, radius: int, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows a, b of one shard: a home row and any row of another label within radius of it."""
+    found = []
+    for rows, every in leaves(fps, home, radius):
+        for lo, i, j in near_blocks(fps, rows, every, radius):
+            apart = label[rows[lo + i]] != label[every[j]]
+            found.append((rows[lo + i[apart]], every[j[apart]]))
+    return _joined(found)
+
+
+def _joined(found: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *(x for x, _ in found)]), np.concatenate([none, *(x for _, x in found)])
+
+
+def search(items: DataFrame, radius: int, *, tables: int = 1, every_pair: bool = False, sample: int = SAMPLE, rows: int | None = None) -> DataFrame:
+    """(a, b), nodes of items (t: table, node, fp, label; a written table) within radius in one table and of different labels.
+
+    Each table has a vantage-point tree of its own, fitted on at most `sample` items; every fingerprint is routed through
+    it, to its home shard and as a guest to those that its radius reaches into. A shard is one group of a shuffle, in which
+    a task searches by a tree of its own. The pairs join up all that are near (a forest in each leaf, however dense a group
+    is), or with every_pair they are all. Several items may share a fingerprint if their labels differ.
+    """
+    total = items.count() // tables
+    chosen = items.where(F.pmod(F.xxhash64("fp"), F.lit(SAMPLE_RATE)) == 0).select("t", "fp", F.xxhash64(F.lit(7), "fp").alias("h"))
+    drawn = [[] for _ in range(tables)]
+    for t in range(tables):
+        drawn[t] = [r.fp for r in chosen.where(F.col("t") == t).orderBy("h", "fp").limit(sample).collect()]
+    trees = [build_tree(np.array(x, np.int64).view(np.uint64), total, rows or shard_rows(total)) for x in drawn]
+    names = ["shard", "node", "fp", "label", "home"]
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _gathered(batches, 1 << 17):
-            fps = table.column("fp").to_numpy().view(np.uint64)
-            shard, row, home = route(nodes, fps, radius)
-            for lo in range(0, len(shard), 1 << 18):
-                part = slice(lo, lo + (1 << 18))
-                yield pa.RecordBatch.from_arrays([pa.array(shard[part]), pa.array(fps[row[part]].view(np.int64)), pa.array(home[part])], names=["shard", "fp", "home"])
+        for part in _gathered(batches, 1 << 16):
+            table, node, fp, label = (part.column(k).to_numpy() for k in ("t", "node", "fp", "label"))
+            for t, tree in enumerate(trees):
+                own = np.flatnonzero(table == t)
+                shard, row, home = route(tree, fp[own].view(np.uint64), radius)
+                for lo in range(0, len(shard), 1 << 18):
+                    at = slice(lo, lo + (1 << 18))
+                    k = own[row[at]]
+                    yield pa.RecordBatch.from_arrays([pa.array(shard[at] | (t << 56)), pa.array(node[k]), pa.array(fp[k]), pa.array(label[k]), pa.array(home[at])], names=names)
 
     def link(table: pa.Table) -> pa.Table:
-        fps, home = table.column("fp").to_numpy().view(np.uint64), table.column("home").to_numpy(zero_copy_only=False)
-        a, b = shard_links(np.sort(fps[home]), np.sort(fps[~home]), radius)
-        return pa.table({"a": pa.array(a.view(np.int64)), "b": pa.array(b.view(np.int64))})
+        node, fp, label, home = (table.column(k).to_numpy() for k in names[1:])
+        order = np.lexsort((fp, node))
+        node, fps, label, home = node[order], fp[order].view(np.uint64), label[order], home[order].astype(bool)
+        a, b = (all_pairs if every_pair else forest)(fps, home, radius, label)
+        return pa.table({"a": pa.array(node[a]), "b": pa.array(node[b])})
+
+    walked = items.select("t", "node", "fp", "label").mapInArrow(walk, "shard long, node long, fp long, label long, home boolean")
+    return walked.groupBy("shard").applyInArrow(link, "a long, b long")
 
-    return unique.select("fp").mapInArrow(walk, "shard long, fp long, home boolean").groupBy("shard").applyInArrow(link, "a long, b long")
+
+def hamming_links(unique: DataFrame, radius: int = RADIUS, sample: int = SAMPLE, rows: int | None = None) -> DataFrame:
+    """(a, b) over distinct fingerprints (column fp, a written table): joins up all that are within radius, exactly.
+
+    The tree is as deep as the number of fingerprints asks for (see shard_rows): what is shuffled is some 3 to 12 rows a
+    fingerprint at radius 2 for up to 2e8 of them (tests). A dense group makes a shard larger but not its links.
+    """
+    return search(unique.select(F.lit(0).alias("t"), F.col("fp").alias("node"), "fp", F.col("fp").alias("label")), radius, sample=sample, rows=rows)
 
 
 def _gathered(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.Table]:
@@ -244,10 +311,3 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     named = materialize(named.select("fp", "component"), "named")
     classes = materialize(named.join(materialize(least, "least").hint("merge"), "component").select("fp", "component_id"), "classes")
     return fps.join(classes.hint("merge"), "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
-
-
-def keep_one(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id is their component's smallest; one row where such an id repeats. Rows with a null id stay."""
-    kept = materialize(classes.where("doc_id = component_id").select("doc_id").distinct(), "kept")
-    found = docs.join(kept.hint("merge"), "doc_id").dropDuplicates(["doc_id"])
-    return found.select(*docs.columns).unionByName(docs.where("doc_id is null"))
