@@ -104,15 +104,17 @@ def test_components_of_chains_and_stars(spark):
 
 @pytest.mark.parametrize("seed", [1, 2])
 def test_pairs_in_a_shard(seed):
-    """Against all pairs: the forest joins up the same, with and without labels, and all_pairs finds every one."""
+    """Against all pairs: the forest joins up the same, with and without labels; closest() finds every one of few, and pairs every other row too."""
     fps = clustered(900, seed)
     home = np.arange(len(fps)) % 5 > 0
     near = (np.bitwise_count(fps[:, None] ^ fps[None]) <= 3) & (home[:, None] | home[None])
     for label in (np.arange(len(fps)), np.arange(len(fps)) // 3):
         want = {(i, j) for i, j in np.argwhere(near).tolist() if label[i] != label[j]}
-        a, b = vptree.all_pairs(fps, home, 3, label)
-        got = set(zip(a.tolist(), b.tolist(), strict=True))
-        assert got | {(j, i) for i, j in got} == want
+        for few in (10_000, 3):
+            a, b = vptree.closest(fps, home, 3, label, np.arange(len(fps)), few)
+            got = set(zip(a.tolist(), b.tolist(), strict=True))
+            got |= {(j, i) for i, j in got}
+            assert got <= want and (got == want if few > 3 else {i for i, _ in got} == {i for i, _ in want})
         x, y = vptree.forest(fps, home, 3, label)
         links = set(zip(x.tolist(), y.tolist(), strict=True))
         assert partition(label, want) == partition(label, links) and len(links) <= len(want)

@@ -40,12 +40,12 @@ def similarity(a: set[bytes], b: set[bytes]) -> float:
 
 
 class WordHashes(dict):
-    """64 * TABLES bits of a word, as bytes; made when first asked for."""
+    """64 * TABLES bits of a word, as bytes, 128 to a hash; made when first asked for."""
 
     def __missing__(self, word: bytes) -> bytes:
         if len(self) >= CACHE_WORDS:
             self.clear()
-        self[word] = b"".join(xxhash.xxh64_intdigest(word, k).to_bytes(8, "little") for k in range(TABLES))
+        self[word] = b"".join([xxhash.xxh128_digest(word, k) for k in range(TABLES // 2)])
         return self[word]
 
 
@@ -57,9 +57,9 @@ def word_fingerprints(joined: bytes, hashes: WordHashes) -> np.ndarray:
     weight = np.sqrt(np.fromiter(counts.values(), np.float32, len(counts)))
     total = np.zeros(64 * TABLES, np.float32)
     words = list(counts)
-    for lo in range(0, len(words), 4096):
-        raw = np.frombuffer(b"".join([hashes[w] for w in words[lo : lo + 4096]]), np.uint8).reshape(-1, 8 * TABLES)
-        total += weight[lo : lo + 4096] @ np.unpackbits(raw, axis=1, bitorder="little")
+    for lo in range(0, len(words), 512):
+        raw = np.frombuffer(b"".join([hashes[w] for w in words[lo : lo + 512]]), np.uint8).reshape(-1, 8 * TABLES)
+        total += weight[lo : lo + 512] @ np.unpackbits(raw, axis=1, bitorder="little").astype(np.float32)
     return np.packbits(2 * total > weight.sum(), bitorder="little").view("<u8")
 
 
@@ -121,59 +121,49 @@ def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def _hubs(each: DataFrame, turn: int) -> DataFrame:
-    """t, fp, label, node: of all texts with one fingerprint and label, one that a hash of the turn picks."""
-    picked = F.min(F.struct(F.xxhash64(F.lit(turn), "t", "node").alias("h"), "node"))
-    return each.groupBy("t", "fp", "label").agg(picked["node"].alias("node"))
+def _holders(each: DataFrame, first: Column) -> DataFrame:
+    """t, fp, label, node, rank: of all texts with one fingerprint and label, the one whose `first` is smallest."""
+    picked = F.min(F.struct(first.alias("first"), F.xxhash64("t", "node").alias("h"), "node", "rank"))
+    return each.groupBy("t", "fp", "label").agg(picked.alias("x")).select("t", "fp", "label", "x.node", "x.rank")
 
 
 def near_copies(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
     """doc_id, whole, node, component for each row: texts joined up by pairs that are equal or at least SIMILAR alike.
 
     Null and blank texts are equal; texts of fewer than five words are one shingle; rows that repeat are one text; an empty
-    table gives no rows. Candidates are texts of which one of TABLES word fingerprints differs in at most RADIUS bits, found
-    in three turns by vptree.search: first a forest over all fingerprints, each held by one of its texts, with every text
-    paired with the holder of its fingerprint; then a forest between what verified pairs left apart, with other holders; then
-    every candidate pair that is still apart. So a group of very many near copies costs a few comparisons a copy, and
-    yet no candidate pair is left out: the third turn tests all whose ends the first two did not join.
+    table gives no rows. Candidates are texts of which one of TABLES word fingerprints differs in at most RADIUS bits. Each
+    fingerprint is held by one text: that whose other fingerprints are the most frequent, as the original's are among its
+    copies. First every text is paired with its holders, and holders by vptree.search with `near`: with all that are near,
+    or where those are many, with the most frequent one and the nearest. Then turn by turn a forest, with other holders, is
+    tried between candidates that verified pairs left apart, until a turn joins nothing more. So a group of very many
+    near copies costs some comparisons a copy, and small groups are compared in full; the tests measure what is missed.
     """
     signed = materialize(_signed(docs, text_col), "signed")
-    items = signed.groupBy("node").agg(F.first("fps").alias("fps")).select("node", F.posexplode("fps").alias("t", "fp"))
-    each = materialize(items.withColumn("label", F.col("fp")), "each")
-    hubs = materialize(_hubs(each, 1), "hubs")
-    held = each.select("t", "fp", F.col("node").alias("a")).join(hubs.select("t", "fp", F.col("node").alias("b")).hint("merge"), ["t", "fp"]).select("a", "b")
-    pairs = materialize(_ordered(vptree.search(hubs, RADIUS, tables=TABLES).union(held)), "pairs")
+    items = materialize(signed.groupBy("node").agg(F.first("fps").alias("fps")).select("node", F.posexplode("fps").alias("t", "fp")), "items")
+    frequency = items.groupBy("t", "fp").agg(F.count("*").alias("n")).where("n > 1")
+    often = items.join(materialize(frequency, "frequency").hint("merge"), ["t", "fp"]).groupBy("node").agg(F.sum("n").alias("rank"))
+    each = materialize(items.join(often.hint("merge"), "node", "left").select("t", "node", "fp", F.col("fp").alias("label"), F.coalesce("rank", F.lit(0)).cast("long").alias("rank")), "each")
+    holders = materialize(_holders(each, -F.col("rank")), "holders")
+    held = each.where("rank > 0").select("t", "fp", F.col("node").alias("a")).join(holders.select("t", "fp", F.col("node").alias("b")).hint("merge"), ["t", "fp"]).select("a", "b")
+    pairs = materialize(_ordered(vptree.search(holders, RADIUS, tables=TABLES, near=True).union(held)), "pairs")
     met = materialize(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "met")
     texts = materialize(small_join(_texts(docs, text_col), met, "node", "inner").dropDuplicates(["node"]), "texts")
     each = materialize(each.drop("label").join(met.hint("merge"), "node"), "each")
-    links, tested = materialize(verified(pairs, texts), "links"), pairs
-    for turn in (2, 3):
+    links = materialize(verified(pairs, texts), "links")
+    tested, new, turn = pairs, links, 0
+    while not new.isEmpty():
+        turn += 1
         component = connected_components(links)
-        labelled = each.join(component.hint("merge"), "node", "left").select("node", "t", "fp", F.coalesce("component", "node").alias("label"))
-        labelled = materialize(labelled, "labelled")
-        hubs = materialize(_hubs(labelled, turn), "hubs")
-        pairs = vptree.search(hubs, RADIUS, tables=TABLES, every_pair=turn == 3)
-        if turn == 3:
-            pairs = _between(materialize(pairs.distinct(), "open"), hubs, labelled)
-        pairs = materialize(_ordered(pairs).join(tested.hint("merge"), ["a", "b"], "left_anti"), "pairs")
-        links = materialize(links.union(verified(pairs, texts)), "links")
-        tested = tested.union(pairs)
+        labelled = each.join(component.hint("merge"), "node", "left").withColumn("label", F.coalesce("component", "node"))
+        holders = materialize(_holders(labelled, F.xxhash64(F.lit(turn), "t", "node")), "holders")
+        pairs = _ordered(vptree.search(holders, RADIUS, tables=TABLES)).join(tested.hint("merge"), ["a", "b"], "left_anti")
+        pairs = materialize(pairs, "pairs")
+        new = materialize(verified(pairs, texts), "links")
+        links, tested = materialize(links.union(new), "links"), tested.union(pairs)
     component = connected_components(links)
     return signed.drop("fps").join(component.hint("merge"), "node", "left").withColumn("component", F.coalesce("component", "node"))
 
 
-def _between(pairs: DataFrame, hubs: DataFrame, labelled: DataFrame) -> DataFrame:
-    """a, b: all texts that two holders of open pairs stand for. A holder may stand for several fingerprints; one of each pair is near in one table."""
-    own = labelled.select("t", "fp", "label", F.col("node").alias("member"))
-    group = hubs.select("t", "fp", "label", "node")
-    near = F.bit_count(F.col("x.fp").bitwiseXOR(F.col("y.fp"))) <= RADIUS
-    x, y = group.withColumnRenamed("node", "a").alias("x"), group.withColumnRenamed("node", "b").alias("y")
-    met = pairs.join(x.hint("merge"), "a").join(y.hint("merge"), "b").where((F.col("x.t") == F.col("y.t")) & near)
-    met = met.select(F.col("x.t").alias("t"), F.col("x.fp").alias("fp"), F.col("x.label").alias("label"), F.col("y.fp").alias("to_fp"), F.col("y.label").alias("to_label"))
-    left = met.join(own.withColumnRenamed("member", "a").hint("merge"), ["t", "fp", "label"]).select("t", "a", F.col("to_fp").alias("fp"), F.col("to_label").alias("label"))
-    return left.join(own.withColumnRenamed("member", "b").hint("merge"), ["t", "fp", "label"]).select("a", "b")
-
-
 def keep_first(docs: DataFrame, classes: DataFrame) -> DataFrame:
     """One row of docs for each component: that of the smallest doc_id, then of the smallest digest; null ids come last."""
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "whole")

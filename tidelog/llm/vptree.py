@@ -22,6 +22,8 @@ SAMPLE, SAMPLE_RATE = 8_192, 4
 SHARDS, SHARD_ROWS = 64, (16_384, 1 << 19)
 #: Fingerprints in a leaf of the tree that a task builds over its shard.
 LEAF = 512
+#: A fingerprint with up to so many near ones in a leaf is paired with each of them by closest().
+FEW = 32
 
 
 def shard_rows(total: int) -> int:
@@ -223,13 +225,27 @@ def forest(fps: np.ndarray, home: np.ndarray, radius: int = RADIUS, label: np.nd
     return _joined(found)
 
 
-def all_pairs(fps: np.ndarray, home: np.ndarray, radius: int, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Rows a, b of one shard: a home row and any row of another label within radius of it."""
+def closest(fps: np.ndarray, home: np.ndarray, radius: int, label: np.ndarray, rank: np.ndarray, few: int = FEW) -> tuple[np.ndarray, np.ndarray]:
+    """Rows a, b of one shard, of different labels and within radius.
+
+    In each block of a leaf a row, home or guest, is paired with all that are near it there, if those are few; else with the
+    one of highest rank among them and the two nearest.
+    """
     found = []
     for rows, every in leaves(fps, home, radius):
         for lo, i, j in near_blocks(fps, rows, every, radius):
-            apart = label[rows[lo + i]] != label[every[j]]
-            found.append((rows[lo + i[apart]], every[j[apart]]))
+            a, b = rows[lo + i], every[j]
+            apart = label[a] != label[b]
+            for x, y in ((a[apart], b[apart]), (b[apart], a[apart])):
+                _, at, count = np.unique(x, return_inverse=True, return_counts=True)
+                many = count[at] > few
+                found.append((x[~many], y[~many]))
+                x, y = x[many], y[many]
+                bits = np.bitwise_count(fps[x] ^ fps[y])
+                for order, most in ((np.lexsort((y, -rank[y], x)), 1), (np.lexsort((y, -rank[y], bits, x)), 2)):
+                    own = x[order]
+                    kept = order[np.arange(len(own)) - np.searchsorted(own, own) < most]
+                    found.append((x[kept], y[kept]))
     return _joined(found)
 
 
@@ -238,13 +254,13 @@ def _joined(found: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
     return np.concatenate([none, *(x for x, _ in found)]), np.concatenate([none, *(x for _, x in found)])
 
 
-def search(items: DataFrame, radius: int, *, tables: int = 1, every_pair: bool = False, sample: int = SAMPLE, rows: int | None = None) -> DataFrame:
-    """(a, b), nodes of items (t: table, node, fp, label; a written table) within radius in one table and of different labels.
+def search(items: DataFrame, radius: int, *, tables: int = 1, near: bool = False, sample: int = SAMPLE, rows: int | None = None) -> DataFrame:
+    """(a, b), nodes of items (t: table, node, fp, label, rank; a written table) within radius in one table and of different labels.
 
     Each table has a vantage-point tree of its own, fitted on at most `sample` items; every fingerprint is routed through
     it, to its home shard and as a guest to those that its radius reaches into. A shard is one group of a shuffle, in which
     a task searches by a tree of its own. The pairs join up all that are near (a forest in each leaf, however dense a group
-    is), or with every_pair they are all. Several items may share a fingerprint if their labels differ.
+    is), or with `near` they are those of closest(). Several items may share a fingerprint if their labels differ.
     """
     total = items.count() // tables
     chosen = items.where(F.pmod(F.xxhash64("fp"), F.lit(SAMPLE_RATE)) == 0).select("t", "fp", F.xxhash64(F.lit(7), "fp").alias("h"))
@@ -252,27 +268,27 @@ def search(items: DataFrame, radius: int, *, tables: int = 1, every_pair: bool =
     for t in range(tables):
         drawn[t] = [r.fp for r in chosen.where(F.col("t") == t).orderBy("h", "fp").limit(sample).collect()]
     trees = [build_tree(np.array(x, np.int64).view(np.uint64), total, rows or shard_rows(total)) for x in drawn]
-    names = ["shard", "node", "fp", "label", "home"]
+    names = ["shard", "node", "fp", "label", "rank", "home"]
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _gathered(batches, 1 << 16):
-            table, node, fp, label = (part.column(k).to_numpy() for k in ("t", "node", "fp", "label"))
+            table, node, fp, label, rank = (part.column(k).to_numpy() for k in ("t", "node", "fp", "label", "rank"))
             for t, tree in enumerate(trees):
                 own = np.flatnonzero(table == t)
                 shard, row, home = route(tree, fp[own].view(np.uint64), radius)
                 for lo in range(0, len(shard), 1 << 18):
                     at = slice(lo, lo + (1 << 18))
                     k = own[row[at]]
-                    yield pa.RecordBatch.from_arrays([pa.array(shard[at] | (t << 56)), pa.array(node[k]), pa.array(fp[k]), pa.array(label[k]), pa.array(home[at])], names=names)
+                    yield pa.RecordBatch.from_arrays([pa.array(shard[at] | (t << 56)), pa.array(node[k]), pa.array(fp[k]), pa.array(label[k]), pa.array(rank[k]), pa.array(home[at])], names=names)
 
     def link(table: pa.Table) -> pa.Table:
-        node, fp, label, home = (table.column(k).to_numpy() for k in names[1:])
+        node, fp, label, rank, home = (table.column(k).to_numpy() for k in names[1:])
         order = np.lexsort((fp, node))
-        node, fps, label, home = node[order], fp[order].view(np.uint64), label[order], home[order].astype(bool)
-        a, b = (all_pairs if every_pair else forest)(fps, home, radius, label)
+        node, fps, label, rank, home = node[order], fp[order].view(np.uint64), label[order], rank[order], home[order].astype(bool)
+        a, b = closest(fps, home, radius, label, rank) if near else forest(fps, home, radius, label)
         return pa.table({"a": pa.array(node[a]), "b": pa.array(node[b])})
 
-    walked = items.select("t", "node", "fp", "label").mapInArrow(walk, "shard long, node long, fp long, label long, home boolean")
+    walked = items.select("t", "node", "fp", "label", "rank").mapInArrow(walk, "shard long, node long, fp long, label long, rank long, home boolean")
     return walked.groupBy("shard").applyInArrow(link, "a long, b long")
 
 
@@ -282,7 +298,7 @@ def hamming_links(unique: DataFrame, radius: int = RADIUS, sample: int = SAMPLE,
     The tree is as deep as the number of fingerprints asks for (see shard_rows): what is shuffled is some 3 to 12 rows a
     fingerprint at radius 2 for up to 2e8 of them (tests). A dense group makes a shard larger but not its links.
     """
-    return search(unique.select(F.lit(0).alias("t"), F.col("fp").alias("node"), "fp", F.col("fp").alias("label")), radius, sample=sample, rows=rows)
+    return search(unique.select(F.lit(0).alias("t"), F.col("fp").alias("node"), "fp", F.col("fp").alias("label"), F.lit(0).cast("long").alias("rank")), radius, sample=sample, rows=rows)
 
 
 def _gathered(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.Table]:
