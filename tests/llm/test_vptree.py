@@ -111,7 +111,7 @@ def test_pairs_in_a_shard(seed):
     for label in (np.arange(len(fps)), np.arange(len(fps)) // 3):
         want = {(i, j) for i, j in np.argwhere(near).tolist() if label[i] != label[j]}
         for few in (10_000, 3):
-            a, b = vptree.closest(fps, home, 3, label, np.arange(len(fps)), few)
+            a, b, _ = vptree.closest(fps, home, 3, label, np.arange(len(fps)), few)
             got = set(zip(a.tolist(), b.tolist(), strict=True))
             got |= {(j, i) for i, j in got}
             assert got <= want and (got == want if few > 3 else {i for i, _ in got} == {i for i, _ in want})

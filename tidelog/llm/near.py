@@ -118,7 +118,15 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:
-    return pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return pairs.where("a <> b").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("top").alias("top"))
+
+
+def _apart(pairs: DataFrame, component: DataFrame) -> DataFrame:
+    """The pairs whose ends are not in one component."""
+    for end in ("a", "b"):
+        named = component.select(F.col("node").alias(end), F.col("component").alias(f"{end}_in"))
+        pairs = pairs.join(named.hint("merge"), end, "left")
+    return pairs.where(~F.coalesce(F.col("a_in") == F.col("b_in"), F.lit(False))).select("a", "b")
 
 
 def _holders(each: DataFrame, first: Column) -> DataFrame:
@@ -134,7 +142,8 @@ def near_copies(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
     table gives no rows. Candidates are texts of which one of TABLES word fingerprints differs in at most RADIUS bits. Each
     fingerprint is held by one text: that whose other fingerprints are the most frequent, as the original's are among its
     copies. First every text is paired with its holders, and holders by vptree.search with `near`: with all that are near,
-    or where those are many, with the most frequent one and the nearest. Then turn by turn a forest, with other holders, is
+    or where those are many, with the most frequent one and the nearest. Of these pairs, those with the most frequent are
+    tested before those that they leave apart. Then turn by turn a forest, with other holders, is
     tried between candidates that verified pairs left apart, until a turn joins nothing more. So a group of very many
     near copies costs some comparisons a copy, and small groups are compared in full; the tests measure what is missed.
     """
@@ -144,13 +153,15 @@ def near_copies(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
     often = items.join(materialize(frequency, "frequency").hint("merge"), ["t", "fp"]).groupBy("node").agg(F.sum("n").alias("rank"))
     each = materialize(items.join(often.hint("merge"), "node", "left").select("t", "node", "fp", F.col("fp").alias("label"), F.coalesce("rank", F.lit(0)).cast("long").alias("rank")), "each")
     holders = materialize(_holders(each, -F.col("rank")), "holders")
-    held = each.where("rank > 0").select("t", "fp", F.col("node").alias("a")).join(holders.select("t", "fp", F.col("node").alias("b")).hint("merge"), ["t", "fp"]).select("a", "b")
+    held = each.where("rank > 0").select("t", "fp", F.col("node").alias("a")).join(holders.select("t", "fp", F.col("node").alias("b")).hint("merge"), ["t", "fp"]).select("a", "b", F.lit(True).alias("top"))
     pairs = materialize(_ordered(vptree.search(holders, RADIUS, tables=TABLES, near=True).union(held)), "pairs")
     met = materialize(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "met")
     texts = materialize(small_join(_texts(docs, text_col), met, "node", "inner").dropDuplicates(["node"]), "texts")
     each = materialize(each.drop("label").join(met.hint("merge"), "node"), "each")
-    links = materialize(verified(pairs, texts), "links")
-    tested, new, turn = pairs, links, 0
+    links = materialize(verified(pairs.where("top"), texts), "links")
+    rest = materialize(_apart(pairs.where("not top"), connected_components(links)), "rest")
+    links = materialize(links.union(verified(rest, texts)), "links")
+    tested, new, turn = pairs.select("a", "b"), links, 0
     while not new.isEmpty():
         turn += 1
         component = connected_components(links)
@@ -159,7 +170,7 @@ def near_copies(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
         pairs = _ordered(vptree.search(holders, RADIUS, tables=TABLES)).join(tested.hint("merge"), ["a", "b"], "left_anti")
         pairs = materialize(pairs, "pairs")
         new = materialize(verified(pairs, texts), "links")
-        links, tested = materialize(links.union(new), "links"), tested.union(pairs)
+        links, tested = materialize(links.union(new), "links"), tested.union(pairs.select("a", "b"))
     component = connected_components(links)
     return signed.drop("fps").join(component.hint("merge"), "node", "left").withColumn("component", F.coalesce("component", "node"))
 
