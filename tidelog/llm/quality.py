@@ -4,16 +4,17 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidelog.llm.common import materialize
 
 #: The scorer is fitted on about this many documents, drawn by a hash; everything else covers all documents.
 FIT_DOCUMENTS = 4_096
@@ -62,10 +63,14 @@ def _vote(bad: bool, good: bool) -> int:
     return 0 if bad else 1 if good else -1
 
 
-# Each votes 0 (bad), 1 (good) or -1 (no opinion). Most know one kind of junk and have no opinion on other text.
+# Each votes 0 (bad), 1 (good) or -1 (no opinion). The first three look at the whole text in different ways and vote both
+# ways on nearly every text; each of the others knows one kind of junk. So every kind of junk is seen by two or more, and
+# agreement tells how far each is to be trusted.
 LABELLERS: dict[str, Callable[[Facts], int]] = {
-    "symbol_tails": lambda f: _vote(f.symbols > 0.2, False),
     "punctuation": lambda f: _vote(f.words > 20 and f.stops < 0.02, f.stops >= 0.02 and (f.stops <= 0.5 or f.words <= 20) and f.bars < 0.1 and f.symbols < 0.1 and (f.distinct > 0.2 or f.words <= 60)),
+    "word_shapes": lambda f: _vote(f.words == 0 or f.symbols > 0.2 or f.upper > 0.4 or f.words > 20 and f.letters < 0.5, f.symbols < 0.1 and f.upper < 0.2 and f.letters > 0.6 and f.length < 14),
+    "variety": lambda f: _vote(f.words == 0 or f.bars > 0.15 and f.words > 20 or f.distinct < 0.1 and f.words > 60 or f.lines < 0.3, f.bars < 0.1 and f.lines > 0.5 and (f.distinct > 0.2 or f.words <= 60)),
+    "symbol_tails": lambda f: _vote(f.symbols > 0.2, False),
     "upper_case": lambda f: _vote(f.upper > 0.4, False),
     "separators": lambda f: _vote(f.words > 20 and f.bars > 0.15, False),
     "repetition": lambda f: _vote(f.words > 60 and f.distinct < 0.1, False),
@@ -180,14 +185,13 @@ def features(text: str) -> dict[int, float]:
     return out
 
 
-def fit_scorer(texts: list[str], labels: np.ndarray) -> tuple[np.ndarray, float]:
-    """Weights and bias of a logistic scorer, fitted to labels between 0 and 1 by gradient descent with momentum."""
-    rows = [features(t) for t in texts]
+def fit_scorer(rows: Sequence[Mapping[int, float]], labels: np.ndarray) -> tuple[np.ndarray, float]:
+    """Weights and bias of a logistic scorer over features, fitted to labels between 0 and 1 by gradient descent with momentum."""
     at = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     slot = np.fromiter((k for r in rows for k in r), np.int64)
     value = np.fromiter((v for r in rows for v in r.values()), float)
     w, b, step, step_b = np.zeros(DIMENSIONS), 0.0, np.zeros(DIMENSIONS), 0.0
-    for _ in range(STEPS if rows else 0):
+    for _ in range(STEPS if len(rows) else 0):
         z = np.bincount(at, value * w[slot], minlength=len(rows)) + b
         error = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels) / len(rows)
         step = 0.9 * step - RATE * (np.bincount(slot, value * error[at], minlength=DIMENSIONS) + PENALTY * w)
@@ -220,14 +224,18 @@ def make_scorer(weights: np.ndarray, bias: float) -> Callable[[str, list[str], F
     return score
 
 
-def vote_pattern(text):
-    """Column of vote patterns."""
+def observe(text: Column, drawn: Column) -> Column:
+    """The vote pattern of each text and, of those drawn, the features."""
 
-    @F.pandas_udf("string")
-    def of(texts: pd.Series) -> pd.Series:
-        return pd.Series([votes(facts(t, t.split())) for t in texts], dtype=object)
+    @F.pandas_udf("pattern string, slots array<int>, amounts array<double>")
+    def of(texts: pd.Series, drawn: pd.Series) -> pd.DataFrame:
+        rows = []
+        for t, own in zip(texts, drawn, strict=True):
+            f = features(t) if own else None
+            rows.append((votes(facts(t, t.split())), None if f is None else list(f), None if f is None else list(f.values())))
+        return pd.DataFrame(rows, columns=["pattern", "slots", "amounts"])
 
-    return of(text)
+    return of(text, drawn)
 
 
 @dataclass
@@ -244,32 +252,34 @@ def _text(text_col: str):
 def fit(docs: DataFrame, text_col: str = "text", fit_documents: int = FIT_DOCUMENTS) -> QualityModel:
     """Label model from the vote patterns of all documents (at most three to the power of labellers rows reach the driver), then the scorer.
 
-    The scorer is fitted in one task on about fit_documents documents drawn by a hash of their id and text, labelled with
-    the posteriors of their patterns; a few copies of one text cannot fill that sample, since copies are drawn with
-    their ids. What reaches the driver is DIMENSIONS weights.
+    One pass over the texts makes each document's pattern and, for at most about fit_documents different texts, drawn by a
+    hash, the features; copies of one text are drawn once. One task fits the scorer to those features, labelled with the
+    posteriors of their patterns. What reaches the driver is DIMENSIONS weights.
     """
-    ids = [c for c in ("doc_id",) if c in docs.columns]
-    seen = docs.select(*ids, vote_pattern(_text(text_col)).alias("pattern"))
+    cut = min(1 << 31, int((1 << 31) * fit_documents / max(1, docs.count())) + 1)
+    text, drawn = _text(text_col), F.pmod(F.xxhash64(F.lit(3), _text(text_col)), F.lit(1 << 31)) < cut
+    seen = docs.select(F.when(drawn, F.xxhash64(text)).alias("h"), observe(text, drawn).alias("x")).select("h", "x.*")
+    seen = materialize(seen, "observed")
     patterns = {r["pattern"]: r["n"] for r in seen.groupBy("pattern").agg(F.count("*").alias("n")).collect()}
     model = fit_label_model(patterns)
-    total = sum(patterns.values())
-    cut = min(1 << 31, int((1 << 31) * fit_documents / max(1, total)) + 1)
-    drawn = docs.where(F.pmod(F.xxhash64(*ids, F.lit(3), _text(text_col)), F.lit(1 << 31)) < cut).select(_text(text_col).alias("text"))
 
     def train(rows: pd.DataFrame) -> pd.DataFrame:
-        texts = sorted(rows["text"])
-        labels = np.array([model.posterior(votes(facts(t, t.split()))) for t in texts])
-        w, b = fit_scorer(texts, labels)
+        rows = rows.sort_values("h")
+        labels = np.array([model.posterior(p) for p in rows["pattern"]])
+        w, b = fit_scorer([dict(zip(k, v, strict=True)) for k, v in zip(rows["slots"], rows["amounts"], strict=True)], labels)
         return pd.DataFrame({"weights": [w.tobytes()], "bias": [b]})
 
-    found = drawn.groupBy(F.lit(0).alias("one")).applyInPandas(train, "weights binary, bias double").collect()
+    different = seen.where("h is not null").dropDuplicates(["h"])
+    found = different.groupBy(F.lit(0).alias("one")).applyInPandas(train, "weights binary, bias double").collect()
     if not found:
         return QualityModel(model, np.zeros(DIMENSIONS, np.float32), 0.0)
     return QualityModel(model, np.frombuffer(found[0]["weights"], np.float32), found[0]["bias"])
 
 
-def score(docs: DataFrame, model: QualityModel, text_col: str = "text") -> DataFrame:
-    """docs with the column quality_result: pattern, posterior of the labellers alone, score of the scorer."""
+def score(docs: DataFrame, model: QualityModel, text_col: str = "text", into: str = "quality_result") -> DataFrame:
+    """docs with the column `into`: pattern, posterior of the labellers alone, score of the scorer. ValueError if docs has such a column."""
+    if into in docs.columns:
+        raise ValueError(f"there is a column {into} already")
     weights, bias, labels = model.weights, model.bias, model.labels
 
     @F.pandas_udf("pattern string, posterior double, score double")
@@ -286,7 +296,7 @@ def score(docs: DataFrame, model: QualityModel, text_col: str = "text") -> DataF
                 rows.append((p, posteriors[p], scorer(t, tokens, f)))
             yield pd.DataFrame(rows, columns=["pattern", "posterior", "score"])
 
-    return docs.withColumn("quality_result", judge(_text(text_col)))
+    return docs.withColumn(into, judge(_text(text_col)))
 
 
 def quality_report(docs: DataFrame) -> DataFrame:
@@ -300,11 +310,11 @@ def quality_report(docs: DataFrame) -> DataFrame:
 
 
 def keep(result):
-    """A text without words is rejected whatever its score."""
+    """A score of exactly THRESHOLD is kept; a text without words is rejected whatever its score."""
     return (result["score"] >= THRESHOLD) & (F.substring(result["pattern"], list(LABELLERS).index("empty") + 1, 1) != "b")
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The rows of docs that the classifier keeps, with their columns."""
-    scored = score(docs, fit(docs))
-    return scored.where(keep(F.col("quality_result"))).select(*docs.columns)
+    """The rows of docs that the classifier keeps, with their columns, whatever these are called; rows that repeat stay or go together."""
+    name = next(n for n in (f"quality_result_{k}" for k in range(len(docs.columns) + 1)) if n not in docs.columns)
+    return score(docs, fit(docs), into=name).where(keep(F.col(name))).select(*docs.columns)
