@@ -1,7 +1,8 @@
 import hashlib
 import re
 
-from tidelog.llm import secrets
+from tests.oracle import connect, rows_of, rows_of_sql
+from tidelog.llm import queries, secrets
 
 A = re.compile(r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
 K, H = re.compile("AKIA[A-Z0-9]+"), re.compile("[0-9a-f]+")
@@ -51,3 +52,26 @@ def test_masking(spark, odd, nothing):
     masked = secrets.mask_live(odd)
     assert masked.columns == odd.columns and masked.count() == odd.count()
     assert secrets.mask_live(nothing).count() == 0
+
+
+def test_repositories_decide(spark):
+    """Two owners share a value: over five repositories of theirs it is widely copied, over two it is not; one owner's many repositories do not matter."""
+    other, third = KEY[::-1], "9" + KEY[1:]
+    rows = [(i, f"token = {KEY}", f"l{i}", f"s{i % 2}", 1) for i in range(5)] + [(10 + i, f"token = {other}", "en", f"s{i}", 1) for i in range(2)] + [(20 + i, f"token = {third}", f"l{i}", "s0", 1) for i in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    out = {r.doc_id: r for r in secrets.secret_report(docs).collect()}
+    assert (out[0].n_shared, out[0].most_owners, out[0].most_repositories) == (1, 2, 5)
+    assert out[0].n_shared and not out[10].n_shared and not out[10].n_live and out[20].n_live and not out[20].n_shared
+    assert (out[10].most_owners, out[10].most_repositories, out[20].most_repositories) == (2, 2, 6)
+    masked = {r.doc_id: r.text for r in secrets.mask_live(docs).collect()}
+    assert masked[0] == f"token = {KEY}" and masked[10] == masked[20] == "token = [secret]"
+
+
+def test_no_value_is_written(spark):
+    rows, spans = secrets.scan(owned(spark))
+    assert "value" not in spans.columns and all(KEY not in str(r) for r in spans.collect())
+
+
+def test_sql(spark, sf):
+    name = "op5_secret_ownership"
+    assert rows_of(queries.QUERIES[name](spark, sf)) == rows_of_sql(connect(sf), queries.ORACLE_SQL[name])

@@ -15,10 +15,12 @@ _own_folder: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or, in local mode only, one of our own where that is unset."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
+    if not spark.conf.get("spark.master", "").startswith("local") or spark.conf.get("spark.master").startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir is unset: executors of a cluster need a folder that they share")
     if not _own_folder:
         _own_folder.append("file://" + tempfile.mkdtemp(prefix="tidelog-"))
     return _own_folder[0]

@@ -78,25 +78,27 @@ ORACLE_SQL: dict[str, str] = {
             CASE WHEN page_id <> first THEN first END AS refers_to
         FROM f""",
     "op5_secret_ownership": r"""
-        WITH t AS (SELECT row_number() OVER () AS row, doc_id, coalesce(source, '') AS owner, coalesce(text, '') AS text FROM documents),
+        WITH t AS (SELECT row_number() OVER () AS row, doc_id, coalesce(source, '') AS owner, concat_ws('/', source, lang) AS repository, coalesce(text, '') AS text FROM documents),
         f AS (
-            SELECT row, owner, 1 AS listed, string_split_regex(text, '(?i:(password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)') AS gaps,
+            SELECT row, owner, repository, 1 AS listed, string_split_regex(text, '(?i:(password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)') AS gaps,
                 regexp_extract_all(text, '(?i:(password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 0) AS found FROM t
-            UNION ALL SELECT row, owner, 2, string_split_regex(text, 'AKIA[A-Z0-9]{16,}'), regexp_extract_all(text, 'AKIA[A-Z0-9]{16,}', 0) FROM t
-            UNION ALL SELECT row, owner, 3, string_split_regex(text, '[0-9a-f]{24,}'), regexp_extract_all(text, '[0-9a-f]{24,}', 0) FROM t),
-        e AS (SELECT row, owner, listed, gaps, found, unnest(range(1, len(found) + 1)) AS i FROM f),
-        g AS (SELECT row, owner, listed, found[i] AS match, sum(length(gaps[i]) + length(found[i])) OVER (PARTITION BY row, listed ORDER BY i) AS stop FROM e),
+            UNION ALL SELECT row, owner, repository, 2, string_split_regex(text, 'AKIA[A-Z0-9]{16,}'), regexp_extract_all(text, 'AKIA[A-Z0-9]{16,}', 0) FROM t
+            UNION ALL SELECT row, owner, repository, 3, string_split_regex(text, '[0-9a-f]{24,}'), regexp_extract_all(text, '[0-9a-f]{24,}', 0) FROM t),
+        e AS (SELECT row, owner, repository, listed, gaps, found, unnest(range(1, len(found) + 1)) AS i FROM f),
+        g AS (SELECT row, owner, repository, listed, found[i] AS match, sum(length(gaps[i]) + length(found[i])) OVER (PARTITION BY row, listed ORDER BY i) AS stop FROM e),
         h AS (SELECT *, CASE WHEN listed = 1 THEN regexp_extract(match, '(?i:(password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 2) ELSE match END AS value FROM g),
         c AS (SELECT * FROM h WHERE length(value) >= 6),
-        o AS (SELECT value, count(DISTINCT owner) AS owners FROM c GROUP BY value),
-        v AS (SELECT c.*, CASE WHEN owners >= 3 THEN 5 WHEN owners <= 1 AND length(value) >= 16 AND len(list_distinct(string_split(value, ''))) >= 8 AND regexp_matches(value, '[0-9]') THEN 4 END AS verdict FROM c JOIN o USING (value)),
+        o AS (SELECT value, count(DISTINCT owner) AS owners, count(DISTINCT (owner, repository)) AS repositories FROM c GROUP BY value),
+        v AS (SELECT c.*, owners, repositories, CASE WHEN owners >= 3 OR owners > 1 AND repositories >= 5 THEN 5 WHEN owners <= 1 AND length(value) >= 16 AND len(list_distinct(string_split(value, ''))) >= 8 AND regexp_matches(value, '[0-9]') THEN 4 END AS verdict FROM c JOIN o USING (value)),
         s AS (SELECT row, listed, stop - length(match) AS start, stop FROM v UNION SELECT row, verdict, stop - length(value), stop FROM v WHERE verdict IS NOT NULL),
+        m AS (SELECT row, max(owners) AS most_owners, max(repositories) AS most_repositories FROM v GROUP BY row),
         n AS (SELECT row, listed, start, stop, (['assign', 'access', 'hex', 'live', 'shared'])[listed] || ':' || start::BIGINT::VARCHAR || ':' || stop::BIGINT::VARCHAR AS span FROM s)
         SELECT doc_id, count(*) FILTER (listed = 1) AS n_assign, count(*) FILTER (listed = 2) AS n_access, count(*) FILTER (listed = 3) AS n_hex,
             sha256(coalesce(string_agg(span, ',' ORDER BY start, listed, stop) FILTER (listed <= 3), '')) AS base_sha256,
             coalesce(string_agg(span, ',' ORDER BY start, listed, stop), '') AS spans,
-            count(*) FILTER (listed = 4) AS n_live, count(*) FILTER (listed = 5) AS n_shared
-        FROM t LEFT JOIN n USING (row) GROUP BY row, doc_id""",
+            count(*) FILTER (listed = 4) AS n_live, count(*) FILTER (listed = 5) AS n_shared,
+            coalesce(any_value(most_owners), 0)::BIGINT AS most_owners, coalesce(any_value(most_repositories), 0)::BIGINT AS most_repositories
+        FROM t LEFT JOIN n USING (row) LEFT JOIN m USING (row) GROUP BY row, doc_id""",
     "op6_poisson_mixing": """
         WITH s AS (SELECT coalesce(source, '') AS mix, count(*) AS n FROM documents GROUP BY 1),
         t AS (SELECT sum(n)::DOUBLE AS total, sum(round(sqrt(n::DOUBLE), 6)::DECIMAL(38, 6))::DOUBLE AS weight FROM s),
