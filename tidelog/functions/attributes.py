@@ -54,3 +54,16 @@ def contents(attributes: Column, *, system: bool = True) -> Column:
 def as_text(value: Column, prefix: str) -> Column:
     """A binary value for readers that ask for text: a prefix and base64."""
     return F.concat(F.lit(prefix), F.base64(value))
+
+
+def expand_document(value: Column, document: dict[str, Column]) -> Column:
+    """The value with each "${$document.NAME}" filled in by what the document was before the mutation, as JSON."""
+    for name, now in document.items():
+        value = F.replace(value, F.lit('"${$document.' + name + '}"'), now)
+    return value
+
+
+def body_from(value: Column, attributes: Column, key: str) -> tuple[Column, Column]:
+    """(status, body) after replacing a document's body by one of its attributes, which goes."""
+    have = F.element_at(attributes, key)
+    return F.when(have.isNull(), "path_missing").otherwise("success"), F.coalesce(have, value)

@@ -52,3 +52,36 @@ def bloom_size(keys: Column, false_positives: Column) -> tuple[Column, Column]:
     """Bits and hash functions of a bloom filter for so many keys."""
     bits = F.round(-keys * F.ln(false_positives) / F.lit(0.4804530139182014)).cast("long")
     return bits, F.round(bits / keys * F.lit(0.6931471805599453)).cast("long")
+
+
+def leb128(number: Column) -> Column:
+    """A number of up to 35 bits as unsigned LEB128, in hexadecimal: seven bits a byte, lowest first, the top bit where more follow."""
+    digits = F.array(*[F.shiftright(number, 7 * k).bitwiseAND(F.lit(127)) for k in range(5)])
+    size = F.greatest(F.lit(1), *[F.when(F.shiftright(number, 7 * k) > 0, k + 1).otherwise(1) for k in range(5)])
+    parts = F.transform(F.slice(digits, F.lit(1), size), lambda d, i: F.lpad(F.lower(F.hex(F.when(i + 1 < size, d + 128).otherwise(d))), 2, "0"))
+    return F.array_join(parts, "")
+
+
+def from_leb128(text: Column) -> Column:
+    """The number of a LEB128 text in hexadecimal; null if it ends early, goes on after its end, or is longer than it needs to be."""
+    size = (F.length(text) / 2).cast("int")
+    places = F.sequence(F.lit(0), F.greatest(size - 1, F.lit(0)))
+    more = F.transform(places, lambda k: F.conv(F.substr(text, 2 * k + 1, F.lit(2)), 16, 10).cast("long"))
+    right = F.aggregate(F.transform(more, lambda b, i: (b >= 128) == (i < size - 1)), F.lit(True), lambda a, b: a & b) & (size > 0) & ((size == 1) | (F.element_at(more, -1) > 0))
+    total = F.aggregate(F.transform(more, lambda b, i: b.bitwiseAND(F.lit(127)) * F.pow(F.lit(128), i).cast("long")), F.lit(0).cast("long"), lambda a, b: a + b)
+    return F.when(right, total)
+
+
+def negotiated(mask: Column, enabled: Column) -> Column:
+    """The bits of a body's datatype that a connection has asked for."""
+    return mask.bitwiseAND(enabled)
+
+
+def split_limited(text: Column, mark: str, limit: int) -> Column:
+    """Parts of a text between marks; after `limit` cuts the rest stays whole."""
+    return F.split(text, "\\Q" + mark + "\\E", limit + 1)
+
+
+def whole_number(text: Column) -> Column:
+    """The unsigned number that all of a text is, else null."""
+    return F.when(text.rlike("^[0-9]+$"), text.try_cast("long"))

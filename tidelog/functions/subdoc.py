@@ -287,3 +287,38 @@ def exists(doc: Column, path: str) -> Column:
 def count(doc: Column) -> Column:
     """Members of a JSON object or array at the root."""
     return F.coalesce(F.json_array_length(doc), F.size(F.json_object_keys(doc))).cast("long")
+
+
+# Bits of an operation list's flags for the document as a whole.
+MAKE_DOCUMENT, ONLY_NEW, SEE_DELETED, MAKE_DELETED, REVIVE = 0x01, 0x02, 0x04, 0x08, 0x10
+
+
+def document_status(doc: Column, deleted: Column, flags: Column) -> Column:
+    """What an edit of a document that is absent (null), deleted or there comes to under its flags, before its operations are looked at."""
+    has = lambda bit: flags.bitwiseAND(F.lit(bit)) != 0
+    seen = doc.isNotNull() & (~deleted | has(SEE_DELETED))
+    bad = has(MAKE_DOCUMENT) & has(ONLY_NEW) | has(MAKE_DELETED) & ~(has(MAKE_DOCUMENT) | has(ONLY_NEW)) | has(REVIVE) & has(MAKE_DELETED)
+    made = ~seen & (has(MAKE_DOCUMENT) | has(ONLY_NEW))
+    return F.when(bad, "invalid_arguments").when(has(REVIVE) & doc.isNotNull() & ~deleted, "cannot_revive_living").when(seen & has(ONLY_NEW), "key_already_exists").when(~seen & ~made, "no_such_key").when(made, "made").otherwise("success")
+
+
+def edit_document(doc: Column, deleted: Column, flags: Column, ops: Column) -> Column:
+    """struct<status, doc, deleted, results>: the list applied under its flags; a made document starts as {} and its operations make parents.
+
+    Attributes come before the body in a list: an operation list is in phases already, since it is sorted here by whether it
+    is of the whole document. Operations `set_doc` and `delete_doc` replace or remove the body after all others.
+    """
+    before = document_status(doc, deleted, flags)
+    made = before == "made"
+    within = F.filter(ops, lambda o: ~o["op"].isin("set_doc", "delete_doc"))
+    parents = F.transform(within, lambda o: F.struct(o["op"].alias("op"), o["path"].alias("path"), o["value"].alias("value"), F.when(made, o["flags"].bitwiseOR(F.lit(MAKE_PARENTS))).otherwise(o["flags"]).alias("flags")))
+    whole = F.filter(ops, lambda o: o["op"].isin("set_doc", "delete_doc"))
+    inner = fold(F.when(made, "{}").otherwise(doc), parents)
+    last = F.try_element_at(whole, F.lit(-1))
+    ok = before.isin("made", "success")
+    status = F.when(~ok, before).when(F.size(whole) > 1, "invalid_combination").otherwise(inner["status"])
+    fine = status == "success"
+    removed = F.coalesce(last["op"] == "delete_doc", F.lit(False))
+    body = F.when(~fine, doc).when(removed, F.lit(None)).when(F.size(whole) == 1, last["value"]).otherwise(inner["doc"])
+    dead = F.when(~fine, deleted).when(removed, True).when(made, flags.bitwiseAND(F.lit(MAKE_DELETED)) != 0).when(flags.bitwiseAND(F.lit(REVIVE)) != 0, False).otherwise(deleted)
+    return F.struct(status.alias("status"), body.alias("doc"), dead.alias("deleted"), inner["results"].alias("results"))

@@ -40,3 +40,37 @@ def partition_split(partitions: DataFrame, parts: int) -> DataFrame:
     total = partitions.agg(F.least(F.lit(parts), F.count("*")).alias("n"))
     number = F.row_number().over(Window.orderBy("vb")) - 1
     return partitions.withColumn("at", number).join(F.broadcast(total), F.lit(True)).select("vb", F.pmod("at", F.col("n")).cast("long").alias("part"))
+
+
+def successor(old: DataFrame, new: DataFrame, old_uid: int, new_uid: int) -> DataFrame:
+    """What keeps a manifest from following another, one row per fault (rule, id); none if it may.
+
+    A smaller uid may not follow; with an equal uid nothing may differ; with a larger one a scope that stays keeps its
+    name, and a collection that stays its name, scope and metering. The faults of other uids are not looked for then.
+    """
+    spark = old.sparkSession
+    fault = lambda df, rule, name: df.select(F.lit(rule).alias("rule"), F.col(name).cast("long").alias("id")).distinct()
+    if new_uid < old_uid:
+        return spark.range(1).select(F.lit("uid_goes_back").alias("rule"), F.lit(new_uid).cast("long").alias("id"))
+    if new_uid == old_uid:
+        columns = ["sid", "scope", "cid", "collection", "max_ttl", "history"]
+        a, b = old.select(*columns), new.select(*columns)
+        return fault(a.exceptAll(b).union(b.exceptAll(a)), "changed_with_same_uid", "cid")
+    a, b = old.alias("a"), new.alias("b")
+    scopes = a.select("sid", "scope").distinct().alias("a").join(b.select("sid", "scope").distinct().alias("b"), F.col("a.sid") == F.col("b.sid")).where("a.scope <> b.scope").select("a.sid")
+    same = a.join(b, F.col("a.cid") == F.col("b.cid")).where("a.collection <> b.collection or a.sid <> b.sid").select("a.cid")
+    return fault(scopes, "scope_renamed", "sid").union(fault(same, "collection_changed", "cid"))
+
+
+def system_events(old: DataFrame, new: DataFrame, new_uid: int, seqnos: DataFrame) -> DataFrame:
+    """The events that a new manifest writes into each partition (vb, high_seqno): change, cid, uid and the seqno after the high one.
+
+    Drops come before creations, each in order of cid; a created or flushed collection starts at its event's seqno.
+    """
+    from pyspark.sql import Window
+
+    rank = F.when(F.col("change") == "drop", 0).when(F.col("change") == "create", 1).otherwise(2)
+    changes = diff(old, new).withColumn("rank", rank).withColumn("at", F.row_number().over(Window.orderBy("rank", "cid")))
+    each = seqnos.select("vb", "high_seqno").join(F.broadcast(changes), F.lit(True))  # a manifest is a short list, and every partition gets it
+    seqno = (F.col("high_seqno") + F.col("at")).cast("long")
+    return each.select("vb", "cid", "change", F.lit(new_uid).cast("long").alias("uid"), seqno.alias("seqno"), F.when(F.col("change").isin("create", "flush"), seqno).alias("start_seqno"))

@@ -26,7 +26,7 @@ def commit_frontier(acks: DataFrame) -> DataFrame:
     reached it, so the frontier is the majority-th largest acknowledgement, capped by the active's.
     """
     per_node = acks.groupBy("vb", "node").agg(F.max("seqno").alias("ack"), F.max("active").alias("active"))
-    grouped = per_node.groupBy("vb").agg(F.array_sort(F.collect_list("ack"), lambda a, b: b.cast("int") - a.cast("int")).alias("acks"), F.max(F.when(F.col("active"), F.col("ack"))).alias("own"))
+    grouped = per_node.groupBy("vb").agg(F.sort_array(F.collect_list("ack"), asc=False).alias("acks"), F.max(F.when(F.col("active"), F.col("ack"))).alias("own"))
     at = majority(F.size("acks")).cast("int")
     return grouped.select("vb", F.least(F.element_at("acks", at), F.coalesce("own", F.lit(0))).alias("frontier"))
 

@@ -104,3 +104,17 @@ def rollback_decision(requests: DataFrame, failover: DataFrame) -> DataFrame:
     snap_start = F.when(F.col("start_seqno") == snap_end, F.col("start_seqno")).otherwise(F.col("snap_start"))
     decision = F.when(nothing_yet, None).when(purged, 0).when(F.col("known").isNull(), 0).when(snap_end <= upper, None).otherwise(F.least(upper, snap_start))
     return r.select("request_id", decision.cast("long").alias("rollback_seqno"))
+
+
+#: What a checkpoint holds for its own sake, never shown to a reader.
+META_OPS = ("empty", "checkpoint_start", "checkpoint_end", "set_vbucket_state")
+
+
+def without_meta(rows: DataFrame) -> DataFrame:
+    return rows.where(~F.col("op").isin(*META_OPS))
+
+
+def dedup_order(rows: DataFrame) -> DataFrame:
+    """Rows numbered per partition in the order that a flush removes duplicates in: by key, prepares before the rest, newest first."""
+    order = Window.partitionBy("vb").orderBy("cid", "key", (F.col("op") != "pending_sync_write").cast("int"), F.desc("seqno"))
+    return rows.withColumn("place", F.row_number().over(order).cast("long"))

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidelog.operators.reads import expired, latest
-from tidelog.operators.stats import histogram
 
 
 def compaction(state: DataFrame, collections: DataFrame, *, purge_before_ts: int, purge_before_seq: int = 0, drop_deletes: bool = False, expire_from: int, retain_erroneous: bool = False) -> DataFrame:
@@ -49,19 +50,35 @@ def age(log: DataFrame) -> DataFrame:
     return newest.join(top, "vb").withColumn("age", F.shiftright(F.greatest(F.lit(0), F.col("top_cas") - F.col("cas")), 16)).drop("top_cas")
 
 
-def _threshold(rows: DataFrame, column: Column, percent: float) -> DataFrame:
-    bins = histogram(rows, column)
-    total = bins.agg(F.max("cumulative").alias("total"))
-    need = F.greatest(F.lit(1), F.floor(F.col("total") * percent / 100))
-    return bins.join(F.broadcast(total), F.lit(True)).where(F.col("cumulative") >= need).agg(F.min("bin").alias("cut"))
+#: Bins that a column's range is cut into per pass when a threshold is searched.
+BINS = 4096
+
+
+def threshold(rows: DataFrame, column: str, percent: float) -> int | None:
+    """The smallest value that at least `percent` of all rows (rounded down, one at least) do not exceed; null for no rows.
+
+    The range is cut into BINS equal bins, counted with a partial step, and the bin that holds the wanted row is cut again,
+    so each pass brings at most BINS counts together, whatever the values are.
+    """
+    low, high, total = rows.agg(F.min(column), F.max(column), F.count(column)).first()
+    if not total:
+        return None
+    wanted, below = max(1, math.floor(total * percent / 100)), 0
+    while low < high:
+        width = -(-(high - low + 1) // BINS)
+        at = F.floor((F.col(column) - low) / width)
+        for r in sorted(rows.where(F.col(column).between(low, high)).groupBy(at.alias("bin")).agg(F.count("*").alias("n")).collect()):
+            if below + r["n"] >= wanted:
+                low, high = low + r["bin"] * width, min(high, low + (r["bin"] + 1) * width - 1)
+                break
+            below += r["n"]
+    return low
 
 
 def eviction(rows: DataFrame, *, frequency_percent: float, age_percent: float, exempt_frequency: int) -> DataFrame:
     """rows (frequency, age) with evict: cold enough, and old enough unless colder than the exempt frequency."""
-    cold = _threshold(rows, F.col("frequency"), frequency_percent).withColumnRenamed("cut", "cold")
-    old = _threshold(rows, F.col("age"), age_percent).withColumnRenamed("cut", "old")
-    joined = rows.join(F.broadcast(cold), F.lit(True)).join(F.broadcast(old), F.lit(True))
-    return joined.withColumn("evict", (F.col("frequency") <= F.col("cold")) & ((F.col("age") >= F.col("old")) | (F.col("frequency") < exempt_frequency))).drop("cold", "old")
+    cold, old = (F.lit(threshold(rows, c, p)) for c, p in (("frequency", frequency_percent), ("age", age_percent)))
+    return rows.withColumn("evict", (F.col("frequency") <= cold) & ((F.col("age") >= old) | (F.col("frequency") < exempt_frequency)))
 
 
 def decayed(frequency: Column, evict: Column) -> Column:

@@ -40,7 +40,7 @@ def flush_state(log: DataFrame, batch: Column) -> DataFrame:
 
 
 def revisions(log: DataFrame) -> DataFrame:
-    """rev of each row: one more than the document's last; a document made anew starts above any deleted rev seen in its partition."""
+    """Rows with life, how often the document was made anew, and rev_in_life, its number in that life; seeded_revisions() gives rev."""
     by_key = Window.partitionBy("vb", "cid", "key").orderBy("seqno")
     fresh = F.coalesce(F.lag("deleted").over(by_key), F.lit(True))
     lives = F.sum(fresh.cast("long")).over(by_key)
@@ -48,6 +48,38 @@ def revisions(log: DataFrame) -> DataFrame:
     return own.withColumn("rev_in_life", F.row_number().over(Window.partitionBy("vb", "cid", "key", "life").orderBy("seqno")).cast("long"))
 
 
+def seeded_revisions(log: DataFrame) -> DataFrame:
+    """rev of each row: one more than the document's last; a document made anew starts above any deleted rev seen in its partition.
+
+    A life's seed depends on the deletes before it in the partition, and those on their own seeds, so a partition's lives
+    are read in order of seqno. A task keeps the seed of open lives that a delete will end, and the largest deleted rev.
+    """
+    import pyarrow as pa
+
+    names = log.columns
+    life = Window.partitionBy("vb", "cid", "key", "life")
+    own = revisions(log).withColumn("__ends", F.bool_or("deleted").over(life))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in log.schema if f.name != "rev") + ", rev long"
+    kept = [c for c in names if c != "rev"]
+
+    def run(batches):
+        vb, top, seeds = None, 0, {}
+        for batch in batches:
+            out = []
+            for here, cid, key, number, deleted, ends in zip(*(batch.column(c).to_pylist() for c in ("vb", "cid", "key", "rev_in_life", "deleted", "__ends")), strict=True):
+                if here != vb:
+                    vb, top, seeds = here, 0, {}
+                if number == 1:
+                    seeds[cid, key] = top
+                seed = seeds.pop((cid, key)) if deleted and ends else seeds[cid, key]
+                out.append(seed + number)
+                if deleted:
+                    top = max(top, seed + number)
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], pa.array(out, pa.int64())], names=[*kept, "rev"])
+
+    return own.repartition("vb").sortWithinPartitions("vb", "seqno").mapInArrow(run, schema)
+
+
 def valid_clocks(rows: DataFrame, now_ns: int, max_future_s: int) -> DataFrame:
     """Rows with what a strict, a lenient and a replacing strategy make of a cas that lies too far ahead."""
     bad = F.col("cas") >= now_ns + max_future_s * 1_000_000_000

@@ -109,3 +109,30 @@ def connection_totals(connections: DataFrame, separator: str = ":") -> DataFrame
     kind = F.regexp_extract("name", f"^([^{separator}]*){separator}", 1)
     named = connections.where(F.col("name").contains(separator)).groupBy(kind.alias("kind")).agg(*sums)
     return named.unionByName(connections.agg(*sums).withColumn("kind", F.lit(":total")))
+
+
+def merged_histograms(parts: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """One histogram (bin, n) of many, bin by bin."""
+    return parts.groupBy(*(keys or []), "bin").agg(F.sum("n").alias("n"))
+
+
+def timing_bin(nanos: Column) -> Column:
+    """The fixed bin of a time: below one microsecond together, tens of microseconds below a millisecond, milliseconds below 50, then half seconds below five, then whole seconds up to ten steps."""
+    us, ms = F.floor(nanos / 1_000), F.floor(nanos / 1_000_000)
+    half = F.floor(nanos / 500_000_000)
+    return F.when(us < 1, "ns").when(us < 1000, F.concat(F.lit("us"), F.lpad((F.floor(us / 10) * 10).cast("string"), 3, "0"))).when(ms < 50, F.concat(F.lit("ms"), F.lpad(ms.cast("string"), 2, "0"))).when(half < 10, F.concat(F.lit("half"), half.cast("string"))).otherwise("wayout")
+
+
+def expected_counter(n: Column, factor: float, most: int = 255) -> Column:
+    """What a counter shows, on average to the nearest step below, after n increments that count with chance 1 / (c * c * factor + 1).
+
+    From c it takes c * c * factor + 1 increments to the next step, so c steps take their sum.
+    """
+    needed = lambda c: (c - 1) * c * (2 * c - 1) / 6 * factor + c
+    steps = F.sequence(F.lit(1), F.lit(most))
+    return F.size(F.filter(steps, lambda c: needed(c) <= n)).cast("long")
+
+
+def merged_compaction(configs: DataFrame) -> DataFrame:
+    """One compaction request per vb of many: switches stay on, bounds take the largest, keys are joined."""
+    return configs.groupBy("vb").agg(F.bool_or("drop_deletes").alias("drop_deletes"), F.bool_or("retain_erroneous").alias("retain_erroneous"), F.max("purge_before_ts").alias("purge_before_ts"), F.max("purge_before_seq").alias("purge_before_seq"))

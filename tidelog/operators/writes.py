@@ -73,11 +73,11 @@ def counters(ops: DataFrame) -> DataFrame:
     return grouped.select("cid", "key", fold.alias("counter"))
 
 
-def appended(ops: DataFrame) -> DataFrame:
-    """Bodies after appends in seqno order."""
+def appended(ops: DataFrame, *, before: bool = False) -> DataFrame:
+    """Bodies after appends in seqno order, or after prepends if `before`."""
     each = F.struct("seqno", F.coalesce("value", F.lit("")).alias("value"))
     grouped = ops.groupBy("cid", "key").agg(F.array_sort(F.collect_list(each)).alias("steps"))
-    return grouped.select("cid", "key", F.array_join(F.transform("steps", lambda s: s["value"]), "").alias("value"))
+    return grouped.select("cid", "key", F.array_join(F.transform(F.reverse("steps") if before else F.col("steps"), lambda s: s["value"]), "").alias("value"))
 
 
 def prune_attributes(attributes: Column) -> Column:
@@ -94,3 +94,39 @@ def lock_intervals(requests: DataFrame, seconds: int) -> DataFrame:
     steps = F.array_sort(F.collect_list(F.col("at")))
     fold = F.aggregate("steps", F.struct(F.lit(None).cast("long").alias("until"), F.lit(0).cast("long").alias("granted"), F.lit(0).cast("long").alias("refused")), lambda a, t: F.when(a["until"].isNull() | (t >= a["until"]), F.struct((t + seconds).cast("long").alias("until"), (a["granted"] + 1).cast("long").alias("granted"), a["refused"].alias("refused"))).otherwise(F.struct(a["until"].alias("until"), a["granted"].alias("granted"), (a["refused"] + 1).cast("long").alias("refused"))))
     return requests.groupBy("key").agg(steps.alias("steps")).select("key", fold.alias("f")).select("key", "f.granted", "f.refused")
+
+
+def unlock_status() -> Column:
+    """status of an unlock with op_cas against have (the document's cas, null if absent), alive, and locked_cas (null if not locked)."""
+    gone = F.col("have").isNull() | ~F.col("alive")
+    return F.when(gone, "no_such_key").when(F.col("locked_cas").isNull(), "not_locked").when(F.col("op_cas") != F.col("locked_cas"), "locked_temporary_failure").otherwise("success")
+
+
+def unlock(ops: DataFrame, state: DataFrame, as_of: int) -> DataFrame:
+    """ops (op_id, cid, key, op_cas) with the status of unlocking state (with locked_cas, locked_until); a lock that ran out is none."""
+    held = F.when(F.col("locked_until") > as_of, F.col("locked_cas"))
+    have = state.select("cid", "key", F.col("cas").alias("have"), live(as_of).alias("alive"), held.alias("locked_cas"))
+    return ops.join(have.hint("merge"), ["cid", "key"], "left").withColumn("status", unlock_status())
+
+
+def get_and_touch(ops: DataFrame, state: DataFrame, as_of: int) -> DataFrame:
+    """ops (op_id, cid, key, exptime: absolute) with the live document's value and rev after the touch, and status.
+
+    A touch that does not change the expiry writes nothing: rev stays.
+    """
+    have = state.where(live(as_of)).select("cid", "key", "value", F.col("rev").alias("had_rev"), F.col("exptime").alias("had"))
+    joined = ops.join(have.hint("merge"), ["cid", "key"], "left")
+    found = F.col("had_rev").isNotNull()
+    return joined.select("op_id", "cid", "key", F.when(found, "success").otherwise("no_such_key").alias("status"), "value", F.when(found, F.col("exptime")).alias("exptime"), (F.col("had_rev") + (F.col("exptime") != F.col("had")).cast("long")).alias("rev"))
+
+
+def kept_expiry(log: DataFrame, preserve: Column) -> DataFrame:
+    """log with the expiry of each row that says to preserve it taken from the newest earlier row of its life that does not.
+
+    A row after a delete has nothing to preserve and keeps its own.
+    """
+    order = Window.partitionBy("vb", "cid", "key").orderBy("seqno")
+    fresh = F.coalesce(F.lag("deleted").over(order), F.lit(True))
+    own = log.withColumn("__life", F.sum(fresh.cast("long")).over(order)).withColumn("__set", F.when(~preserve | fresh, F.col("exptime")))
+    last = Window.partitionBy("vb", "cid", "key", "__life").orderBy("seqno").rowsBetween(Window.unboundedPreceding, 0)
+    return own.withColumn("exptime", F.last("__set", ignorenulls=True).over(last)).drop("__life", "__set")

@@ -32,13 +32,17 @@ class _Load:
         self.rows, self.parts, self.keys = int(options.get("rows", 1000)), int(options.get("partitions", 4)), int(options.get("keys", 100))
         self.step = int(options.get("step", max(1, self.rows // 4)))
 
+    def share(self, vb: int) -> int:
+        """Rows of a partition: the rest of the division goes to the first ones."""
+        return self.rows // self.parts + (vb < self.rows % self.parts)
+
     def read(self, partition: Span) -> Iterator[pa.RecordBatch]:
         return rows_of(partition, self.keys)
 
 
 class LoadReader(_Load, DataSourceReader):
     def partitions(self) -> list[Span]:
-        return [Span(vb, 0, self.rows // self.parts + (vb < self.rows % self.parts)) for vb in range(self.parts)]
+        return [Span(vb, 0, self.share(vb)) for vb in range(self.parts)]
 
 
 class LoadStream(_Load, DataSourceStreamReader):
@@ -52,8 +56,8 @@ class LoadStream(_Load, DataSourceStreamReader):
         return {str(vb): 0 for vb in range(self.parts)}
 
     def latestOffset(self) -> dict:
-        self.high = min(self.high + self.step, self.rows // self.parts)
-        return {str(vb): self.high for vb in range(self.parts)}
+        self.high = min(self.high + self.step, self.share(0))
+        return {str(vb): min(self.high, self.share(vb)) for vb in range(self.parts)}
 
     def partitions(self, start: dict, end: dict) -> list[Span]:
         self.high = max(self.high, *(int(x) for x in end.values()))
