@@ -18,7 +18,9 @@ from tidelog.llm.graph import connected_components
 SEED, SHINGLE, SIMILAR = 42, 5, 0.8
 #: Word fingerprints of a text, each with a tree of its own, and the bits in which those of near copies may differ. Texts of
 #: five-word similarity 0.8 share nearly all their words, so these fingerprints are closer than those of shingles.
-TABLES, RADIUS = 6, 4
+TABLES, RADIUS = 4, 4
+#: Partners of a text that are tried at first: so many of the most frequent, and so many of the nearest.
+PARTNERS = 10
 #: Words whose hashes are kept in each worker.
 CACHE_WORDS = 200_000
 
@@ -117,6 +119,18 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
+def _partners(pairs: DataFrame) -> DataFrame:
+    """(a, b, top) of pairs (a, b, bits, rank): for each a its PARTNERS of highest rank and as many nearest; top is the very first.
+
+    What is collected for an a is its partners in each block of its shards, of which closest() leaves a bounded number.
+    """
+    once = pairs.groupBy("a", "b").agg(F.min("bits").alias("bits"), F.max("rank").alias("rank"))
+    by_rank = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("rank")).alias("low"), "b"))), 1, PARTNERS)
+    by_bits = F.slice(F.array_sort(F.collect_list(F.struct("bits", (-F.col("rank")).alias("low"), "b"))), 1, PARTNERS)
+    each = once.groupBy("a").agg(F.transform(by_rank, lambda x: x["b"]).alias("first"), F.transform(by_bits, lambda x: x["b"]).alias("near"))
+    return each.select("a", "first", F.explode(F.array_union("first", "near")).alias("b")).select("a", "b", (F.col("b") == F.get("first", F.lit(0))).alias("top"))
+
+
 def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.where("a <> b").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("top").alias("top"))
 
@@ -142,8 +156,8 @@ def near_copies(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
     table gives no rows. Candidates are texts of which one of TABLES word fingerprints differs in at most RADIUS bits. Each
     fingerprint is held by one text: that whose other fingerprints are the most frequent, as the original's are among its
     copies. First every text is paired with its holders, and holders by vptree.search with `near`: with all that are near,
-    or where those are many, with the most frequent one and the nearest. Of these pairs, those with the most frequent are
-    tested before those that they leave apart. Then turn by turn a forest, with other holders, is
+    or where those are many, with the most frequent one and the nearest. Of these partners each text keeps PARTNERS of
+    either kind; the most frequent one is tested first, the others only where that leaves them apart. Then turn by turn a forest, with other holders, is
     tried between candidates that verified pairs left apart, until a turn joins nothing more. So a group of very many
     near copies costs some comparisons a copy, and small groups are compared in full; the tests measure what is missed.
     """
@@ -153,8 +167,9 @@ def near_copies(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
     often = items.join(materialize(frequency, "frequency").hint("merge"), ["t", "fp"]).groupBy("node").agg(F.sum("n").alias("rank"))
     each = materialize(items.join(often.hint("merge"), "node", "left").select("t", "node", "fp", F.col("fp").alias("label"), F.coalesce("rank", F.lit(0)).cast("long").alias("rank")), "each")
     holders = materialize(_holders(each, -F.col("rank")), "holders")
-    held = each.where("rank > 0").select("t", "fp", F.col("node").alias("a")).join(holders.select("t", "fp", F.col("node").alias("b")).hint("merge"), ["t", "fp"]).select("a", "b", F.lit(True).alias("top"))
-    pairs = materialize(_ordered(vptree.search(holders, RADIUS, tables=TABLES, near=True).union(held)), "pairs")
+    held = each.where("rank > 0").select("t", "fp", F.col("node").alias("a")).join(holders.select("t", "fp", F.lit(0).alias("bits"), F.col("node").alias("b"), "rank").hint("merge"), ["t", "fp"]).select("a", "b", "bits", "rank")
+    pairs = vptree.search(holders, RADIUS, tables=TABLES, near=True).unionByName(held).where("a <> b")
+    pairs = materialize(_ordered(_partners(pairs)), "pairs")
     met = materialize(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "met")
     texts = materialize(small_join(_texts(docs, text_col), met, "node", "inner").dropDuplicates(["node"]), "texts")
     each = materialize(each.drop("label").join(met.hint("merge"), "node"), "each")
@@ -167,7 +182,7 @@ def near_copies(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
         component = connected_components(links)
         labelled = each.join(component.hint("merge"), "node", "left").withColumn("label", F.coalesce("component", "node"))
         holders = materialize(_holders(labelled, F.xxhash64(F.lit(turn), "t", "node")), "holders")
-        pairs = _ordered(vptree.search(holders, RADIUS, tables=TABLES)).join(tested.hint("merge"), ["a", "b"], "left_anti")
+        pairs = _ordered(vptree.search(holders, RADIUS, tables=TABLES).withColumn("top", F.lit(True))).join(tested.hint("merge"), ["a", "b"], "left_anti")
         pairs = materialize(pairs, "pairs")
         new = materialize(verified(pairs, texts), "links")
         links, tested = materialize(links.union(new), "links"), tested.union(pairs.select("a", "b"))

@@ -23,7 +23,7 @@ SHARDS, SHARD_ROWS = 64, (16_384, 1 << 19)
 #: Fingerprints in a leaf of the tree that a task builds over its shard.
 LEAF = 512
 #: A fingerprint with up to so many near ones in a leaf is paired with each of them by closest().
-FEW = 32
+FEW = 20
 
 
 def shard_rows(total: int) -> int:
@@ -225,28 +225,28 @@ def forest(fps: np.ndarray, home: np.ndarray, radius: int = RADIUS, label: np.nd
     return _joined(found)
 
 
-def closest(fps: np.ndarray, home: np.ndarray, radius: int, label: np.ndarray, rank: np.ndarray, few: int = FEW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rows a, b of one shard, of different labels and within radius, and whether b has the highest rank near a.
+def closest(fps: np.ndarray, home: np.ndarray, radius: int, label: np.ndarray, rank: np.ndarray, few: int = FEW) -> tuple[np.ndarray, np.ndarray]:
+    """Rows a, b of one shard, of different labels and within radius.
 
     In each block of a leaf a row, home or guest, is paired with all that are near it there, if those are few; else with the
     one of highest rank among them and the two nearest.
     """
-    none = np.zeros(0, np.int64)
-    found = [(none, none, none.astype(bool))]
+    found = []
     for rows, every in leaves(fps, home, radius):
         for lo, i, j in near_blocks(fps, rows, every, radius):
             a, b = rows[lo + i], every[j]
             apart = label[a] != label[b]
             for x, y in ((a[apart], b[apart]), (b[apart], a[apart])):
                 _, at, count = np.unique(x, return_inverse=True, return_counts=True)
-                place = []
-                for order in (np.lexsort((y, -rank[y], x)), np.lexsort((y, -rank[y], np.bitwise_count(fps[x] ^ fps[y]), x))):
+                many = count[at] > few
+                found.append((x[~many], y[~many]))
+                x, y = x[many], y[many]
+                bits = np.bitwise_count(fps[x] ^ fps[y])
+                for order, most in ((np.lexsort((y, -rank[y], x)), 1), (np.lexsort((y, -rank[y], bits, x)), 2)):
                     own = x[order]
-                    place.append(np.empty(len(own), np.int64))
-                    place[-1][order] = np.arange(len(own)) - np.searchsorted(own, own)
-                kept = (count[at] <= few) | (place[0] == 0) | (place[1] < 2)
-                found.append((x[kept], y[kept], place[0][kept] == 0))
-    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+                    kept = order[np.arange(len(own)) - np.searchsorted(own, own) < most]
+                    found.append((x[kept], y[kept]))
+    return _joined(found)
 
 
 def _joined(found: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -255,12 +255,12 @@ def _joined(found: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
 
 
 def search(items: DataFrame, radius: int, *, tables: int = 1, near: bool = False, sample: int = SAMPLE, rows: int | None = None) -> DataFrame:
-    """(a, b, top), nodes of items (t: table, node, fp, label, rank; a written table) within radius in one table and of different labels.
+    """(a, b, bits, rank: of b), nodes of items (t: table, node, fp, label, rank; a written table) within radius in one table and of different labels.
 
     Each table has a vantage-point tree of its own, fitted on at most `sample` items; every fingerprint is routed through
     it, to its home shard and as a guest to those that its radius reaches into. A shard is one group of a shuffle, in which
     a task searches by a tree of its own. The pairs join up all that are near (a forest in each leaf, however dense a group
-    is), or with `near` they are those of closest(), `top` marking each one's pair of highest rank. Several items may share a fingerprint if their labels differ.
+    is), or with `near` they are those of closest(). Several items may share a fingerprint if their labels differ.
     """
     total = items.count() // tables
     chosen = items.where(F.pmod(F.xxhash64("fp"), F.lit(SAMPLE_RATE)) == 0).select("t", "fp", F.xxhash64(F.lit(7), "fp").alias("h"))
@@ -285,11 +285,11 @@ def search(items: DataFrame, radius: int, *, tables: int = 1, near: bool = False
         node, fp, label, rank, home = (table.column(k).to_numpy() for k in names[1:])
         order = np.lexsort((fp, node))
         node, fps, label, rank, home = node[order], fp[order].view(np.uint64), label[order], rank[order], home[order].astype(bool)
-        a, b, top = closest(fps, home, radius, label, rank) if near else (*forest(fps, home, radius, label), None)
-        return pa.table({"a": pa.array(node[a]), "b": pa.array(node[b]), "top": pa.array(np.ones(len(a), bool) if top is None else top)})
+        a, b = closest(fps, home, radius, label, rank) if near else forest(fps, home, radius, label)
+        return pa.table({"a": pa.array(node[a]), "b": pa.array(node[b]), "bits": pa.array(np.bitwise_count(fps[a] ^ fps[b]).astype(np.int32)), "rank": pa.array(rank[b])})
 
     walked = items.select("t", "node", "fp", "label", "rank").mapInArrow(walk, "shard long, node long, fp long, label long, rank long, home boolean")
-    return walked.groupBy("shard").applyInArrow(link, "a long, b long, top boolean")
+    return walked.groupBy("shard").applyInArrow(link, "a long, b long, bits int, rank long")
 
 
 def hamming_links(unique: DataFrame, radius: int = RADIUS, sample: int = SAMPLE, rows: int | None = None) -> DataFrame:
