@@ -1,7 +1,9 @@
 """A corpus pipeline: quality classifier, near-duplicate removal, secret masking, source mixing, packing.
 
 Each stage takes (spark, docs, sf_dir) and works on all rows that the stage before it kept; all but the last return the
-columns of documents.
+columns of documents, with any others that docs has. Null and blank texts are rejected by the first stage; to the later
+ones they are empty texts. A null id is an id like any other, but a copy with an id is kept before it. Rows that repeat are
+copies of one document. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -18,7 +20,10 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (five-word Jaccard similarity of at least 0.8) the document with the smallest id stays."""
+    """Of each group of near copies (five-word Jaccard similarity of at least 0.8) the document with the smallest id stays.
+
+    Candidates come from the vantage-point trees of the SimHash operator (vptree.search), over fingerprints of words.
+    """
     return near.keep_first(docs, near.near_copies(docs))
 
 
