@@ -5,7 +5,7 @@ import pytest
 from tests.oracle import connect, rows_of, rows_of_sql
 from tidelog.plans import aggregates, attributes, feeds, meta_writes, partitions, read_write, registry, sessions  # noqa: F401
 
-MAY_BE_EMPTY = {"dur_timeout", "scan_get_by_seqno", "scan_by_seqno", "scan_history", "failover_asof", "kv_getif_meta", "write_add", "write_replace", "write_cas_status"}
+MAY_BE_EMPTY = {"dur_timeout", "scan_get_by_seqno", "scan_by_seqno", "scan_history", "failover_asof", "kv_getif_meta", "write_add", "write_replace"}
 
 
 @pytest.fixture(scope="module")

@@ -19,8 +19,10 @@ def log(spark):
     return spark.createDataFrame([(0, i, 8, f"k{i:03d}", "mutation", "v" * (i % 40), i, 1, 0, 0, i % 10 == 0) for i in range(1, 101)], LOG)
 
 
-def test_a_scan_pages_through(log):
-    scan = scans.create(log, 8, {"range": {"start": b64("k010"), "end": b64("k050")}, "key_only": True}, 0)
+@pytest.mark.parametrize("pinned", [False, True])
+def test_a_scan_pages_through(log, tmp_path, pinned):
+    scan = scans.create(log, 8, {"range": {"start": b64("k010"), "end": b64("k050")}, "key_only": True}, 0, pin_to=f"file://{tmp_path}/scan" if pinned else None)
+    assert bool(scan.rows.inputFiles()) == pinned
     keys = []
     while page := scan.proceed(7):
         keys += [r.key for r in page]

@@ -1,11 +1,11 @@
-"""The queries over the whole log give the rows of their SQL, one for each event or wanted key."""
+"""Queries that apply an operation to every event or wanted key give the rows of their SQL, one for each."""
 
 import pytest
 
 from tests.oracle import connect, rows_of, rows_of_sql
-from tidelog.plans import registry, whole_log  # noqa: F401
+from tidelog.plans import feeds, read_write, registry, sessions, whole_log  # noqa: F401
 
-OF = {"write_cas_status_whole": "events", "write_store_if_whole": "events", "rollback_decision_whole": "events", "kv_get_multi_whole": "customer", "kv_observe_whole": "customer", "write_append_whole": None}
+OF = {"write_cas_status": "events", "write_cas_status_whole": "events", "write_store_if": "events", "write_store_if_whole": "events", "rollback_decision": "events", "rollback_decision_whole": "events", "kv_get_multi": "customer", "kv_observe": "customer", "write_append": None}
 
 
 @pytest.mark.parametrize("name", sorted(OF))

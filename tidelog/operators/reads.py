@@ -66,7 +66,7 @@ def compare(memory: DataFrame, disk: DataFrame) -> DataFrame:
 
 
 def key_range(docs: DataFrame, low: str, high: str, *, after_low: bool = False, before_high: bool = False) -> DataFrame:
-    """Keys between two bounds, each kept or left out; both comparisons reach the scan."""
+    """Keys between two bounds, each kept or left out. The comparisons reach the scan where docs is a table of documents; over reads.latest they stay below its aggregate, and above a window that numbers the log."""
     key = F.col("key")
     return docs.where(((key > low) if after_low else (key >= low)) & ((key < high) if before_high else (key <= high)))
 
@@ -86,7 +86,7 @@ def byte_limit(docs: DataFrame, limit: int, *, group: str = "vb", size: Column |
 
 
 def sample(docs: DataFrame, probability: float, seed: int = 0) -> DataFrame:
-    """A Bernoulli sample that is the same for the same seed."""
+    """A Bernoulli sample; the same for the same seed only over the same partitioning of docs. hash_sample is the same always."""
     return docs.sample(False, probability, seed)
 
 

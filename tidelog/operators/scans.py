@@ -29,7 +29,7 @@ def bounds(request: dict) -> tuple[str, str, bool, bool]:
 
 @dataclass
 class RangeScan:
-    """A scan of one collection. `rows` is the pinned, filtered state; pages follow one another by key."""
+    """A scan of one collection. `rows` is its filtered state, a written table if create() was given a path; pages follow one another by key."""
 
     rows: DataFrame
     key_only: bool
@@ -52,8 +52,12 @@ class RangeScan:
         self.cancelled = True
 
 
-def create(log: DataFrame, cid: int, request: dict, as_of: int, *, newest_uuid: int | None = None, persisted: int | None = None) -> RangeScan:
-    """Opens a scan from a request: range or sampling, key_only, snapshot_requirements; raises ScanError if it cannot be had."""
+def create(log: DataFrame, cid: int, request: dict, as_of: int, *, newest_uuid: int | None = None, persisted: int | None = None, pin_to: str | None = None) -> RangeScan:
+    """Opens a scan from a request: range or sampling, key_only, snapshot_requirements; raises ScanError if it cannot be had.
+
+    With pin_to, a path that all executors share, the scan's rows are written there once, ranged and sorted by key: pages
+    then read the row groups around their start instead of making the state anew, and writes to the log do not move the scan.
+    """
     snapshot = request.get("snapshot_requirements")
     if snapshot:
         if newest_uuid is not None and int(snapshot["vb_uuid"]) != newest_uuid:
@@ -72,7 +76,12 @@ def create(log: DataFrame, cid: int, request: dict, as_of: int, *, newest_uuid:
         wanted, total = int(request["sampling"]["samples"]), docs.count()
         if total > wanted:
             docs = reads.sample(docs, wanted / total, int(request["sampling"].get("seed", 0)))
+    key_only = bool(request.get("key_only"))
+    if key_only:
+        docs = docs.select("cid", "key")
+    if pin_to is not None:
+        docs.repartitionByRange("cid", "key").sortWithinPartitions("cid", "key").write.parquet(pin_to)
+        docs = docs.sparkSession.read.schema(docs.schema).parquet(pin_to)
     if docs.isEmpty():
         raise ScanError("no_such_key")
-    key_only = bool(request.get("key_only"))
-    return RangeScan(docs.select("cid", "key") if key_only else docs, key_only)
+    return RangeScan(docs, key_only)

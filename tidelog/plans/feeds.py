@@ -83,7 +83,7 @@ def failover_pruned(spark, d):
     "rollback_decision",
     FAILOVER
     + """, rq AS (SELECT event_id AS request_id, vb, seqno AS start_seqno, CASE WHEN event_id % 11 = 0 THEN 0 WHEN event_id % 7 = 0 THEN 5 ELSE 1000 + vb * 10 + event_id % 3 END AS uuid,
-        seqno - event_id % 4 AS snap_start, seqno + event_id % 5 AS snap_end, 600::BIGINT AS high_seqno, 30::BIGINT AS purge_seqno, event_id % 2 AS remote_purge FROM m WHERE seqno <= 250),
+        seqno - event_id % 4 AS snap_start, seqno + event_id % 5 AS snap_end, 600::BIGINT AS high_seqno, 30::BIGINT AS purge_seqno, event_id % 2 AS remote_purge FROM m),
     br AS (SELECT vb, uuid, lead(by_seqno) OVER (PARTITION BY vb ORDER BY by_seqno) AS hi FROM fo),
     j AS (SELECT rq.*, br.uuid AS known, coalesce(hi, high_seqno) AS upper, CASE WHEN start_seqno = snap_start THEN start_seqno ELSE snap_end END AS se FROM rq LEFT JOIN br ON rq.vb = br.vb AND rq.uuid = br.uuid)
     SELECT request_id, CASE WHEN start_seqno < purge_seqno AND start_seqno <> 0 AND remote_purge * 30 <> purge_seqno THEN 0 WHEN known IS NULL THEN 0 WHEN se <= upper THEN NULL
@@ -93,7 +93,7 @@ def rollback_decision(spark, d):
     log = mutations(spark, d)
     e = F.col("event_id")
     uuid = F.when(e % 11 == 0, 0).when(e % 7 == 0, 5).otherwise(F.lit(1000) + F.col("vb") * 10 + e % 3)
-    requests = log.where("seqno <= 250").select(e.alias("request_id"), "vb", F.col("seqno").alias("start_seqno"), uuid.alias("uuid"), (F.col("seqno") - e % 4).alias("snap_start"), (F.col("seqno") + e % 5).alias("snap_end"), F.lit(600).cast("long").alias("high_seqno"), F.lit(30).cast("long").alias("purge_seqno"), (e % 2 * 30).alias("remote_purge_seqno"), F.lit(True).alias("strict"), F.lit(None).cast("long").alias("collection_high"))
+    requests = log.select(e.alias("request_id"), "vb", F.col("seqno").alias("start_seqno"), uuid.alias("uuid"), (F.col("seqno") - e % 4).alias("snap_start"), (F.col("seqno") + e % 5).alias("snap_end"), F.lit(600).cast("long").alias("high_seqno"), F.lit(30).cast("long").alias("purge_seqno"), (e % 2 * 30).alias("remote_purge_seqno"), F.lit(True).alias("strict"), F.lit(None).cast("long").alias("collection_high"))
     return feed.rollback_decision(requests, _failover(log))
 
 

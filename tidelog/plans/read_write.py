@@ -12,11 +12,10 @@ from tidelog.plans.registry import query
 
 
 def _wanted(spark: SparkSession, d: str) -> DataFrame:
-    c = model.read(spark, d, "customer").where("c_custkey <= 60")
-    return c.select((F.lit(8) + F.pmod("c_custkey", F.lit(4))).cast("long").alias("cid"), F.concat(F.lit("u"), F.col("c_custkey").cast("string")).alias("key"))
+    return model.read(spark, d, "customer").select((F.lit(8) + F.pmod("c_custkey", F.lit(4))).cast("long").alias("cid"), F.concat(F.lit("u"), F.col("c_custkey").cast("string")).alias("key"))
 
 
-WANTED = ", wanted AS (SELECT 8 + c_custkey % 4 AS cid, 'u' || c_custkey::VARCHAR AS key FROM customer WHERE c_custkey <= 60)"
+WANTED = ", wanted AS (SELECT 8 + c_custkey % 4 AS cid, 'u' || c_custkey::VARCHAR AS key FROM customer)"
 
 
 @query("kv_latest_live", "SELECT vb, cid, key, seqno, cas, rev, value FROM cur")
@@ -150,11 +149,11 @@ def write_replace(spark, d):
 @query(
     "write_cas_status",
     STATE + """ SELECT o.event_id, CASE WHEN st.cas IS NULL OR NOT alive THEN CASE WHEN o.op_cas = 0 THEN 'success' ELSE 'no_such_key' END WHEN o.op_cas = 0 OR o.op_cas = st.cas THEN 'success' ELSE 'key_already_exists' END AS status
-    FROM (SELECT event_id, cid, key, CASE WHEN event_id % 3 = 0 THEN 0 ELSE cas END AS op_cas FROM m WHERE seqno BETWEEN 280 AND 330) o LEFT JOIN st ON st.cid = o.cid AND st.key = o.key""",
+    FROM (SELECT event_id, cid, key, CASE WHEN event_id % 3 = 0 THEN 0 ELSE cas END AS op_cas FROM m) o LEFT JOIN st ON st.cid = o.cid AND st.key = o.key""",
 )
 def write_cas_status(spark, d):
     log = mutations(spark, d)
-    ops = log.where("seqno BETWEEN 280 AND 330").select("event_id", "cid", "key", F.when(F.col("event_id") % 3 == 0, 0).otherwise(F.col("cas")).cast("long").alias("op_cas"))
+    ops = log.select("event_id", "cid", "key", F.when(F.col("event_id") % 3 == 0, 0).otherwise(F.col("cas")).cast("long").alias("op_cas"))
     return writes.cas_status(ops, reads.state_at(log, 300), AS_OF).select("event_id", "status")
 
 
@@ -170,9 +169,9 @@ def write_counter_incr(spark, d):
     return writes.counters(ops).withColumn("counter", F.col("counter").cast("string"))
 
 
-@query("write_append", "SELECT cid, key, string_agg(event_type, '' ORDER BY seqno) AS value FROM m WHERE seqno <= 200 GROUP BY cid, key")
+@query("write_append", "SELECT cid, key, string_agg(event_type, '' ORDER BY seqno) AS value FROM m GROUP BY cid, key")
 def write_append(spark, d):
-    return writes.appended(mutations(spark, d).where("seqno <= 200").select("cid", "key", "seqno", F.col("event_type").alias("value")))
+    return writes.appended(mutations(spark, d).select("cid", "key", "seqno", F.col("event_type").alias("value")))
 
 
 @query("ttl_convert", "SELECT event_id, CASE WHEN event_id % 5 = 0 THEN 0 WHEN event_id * 700 <= 2592000 THEN event_id * 700 + 1706000000 ELSE event_id * 700 END AS expiry FROM m")

@@ -1,26 +1,21 @@
-"""Registered queries: operations over every event of the log, and every customer's key wanted, where another query takes a slice."""
+"""Registered queries: each event as an operation on the document as it was just before it."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tidelog import model
 from tidelog.model import AS_OF, mutations
-from tidelog.operators import feed, reads, writes
+from tidelog.operators import feed, writes
 from tidelog.plans.feeds import FAILOVER, _failover
 from tidelog.plans.registry import query
 
+
 def _before():
     """The versions of a document, oldest first."""
     return Window.partitionBy("vb", "cid", "key").orderBy("seqno")
 
 
-@query("write_append_whole", "SELECT cid, key, string_agg(event_type, '' ORDER BY seqno) AS value FROM m GROUP BY cid, key")
-def write_append_whole(spark, d):
-    return writes.appended(mutations(spark, d).select("cid", "key", "seqno", F.col("event_type").alias("value")))
-
-
 @query(
     "write_cas_status_whole",
     """, o AS (SELECT event_id, CASE event_id % 3 WHEN 0 THEN 0 WHEN 1 THEN lag(cas, 1, cas) OVER w ELSE cas END AS op_cas, lag(cas) OVER w AS have,
@@ -61,26 +56,3 @@ def rollback_decision_whole(spark, d):
     requests = log.join(F.broadcast(log.groupBy("vb").agg(F.max("seqno").alias("high_seqno"))), "vb")
     requests = requests.select(e.alias("request_id"), "vb", F.col("seqno").alias("start_seqno"), uuid.alias("uuid"), (F.col("seqno") - e % 4).alias("snap_start"), (F.col("seqno") + e % 5).alias("snap_end"), "high_seqno", F.lit(30).cast("long").alias("purge_seqno"), (e % 2 * 30).alias("remote_purge_seqno"), F.lit(True).alias("strict"), F.lit(None).cast("long").alias("collection_high"))
     return feed.rollback_decision(requests, _failover(log))
-
-
-WANTED = ", wanted AS (SELECT 8 + c_custkey % 4 AS cid, 'u' || c_custkey::VARCHAR AS key FROM customer)"
-
-
-def _wanted(spark: SparkSession, d: str) -> DataFrame:
-    return model.read(spark, d, "customer").select((F.lit(8) + F.pmod("c_custkey", F.lit(4))).cast("long").alias("cid"), F.concat(F.lit("u"), F.col("c_custkey").cast("string")).alias("key"))
-
-
-@query("kv_get_multi_whole", WANTED + " SELECT cid, key, seqno, value, CASE WHEN seqno IS NULL THEN 'no_such_key' ELSE 'success' END AS status FROM wanted LEFT JOIN cur USING (cid, key)")
-def kv_get_multi_whole(spark, d):
-    return reads.get_multi(mutations(spark, d), _wanted(spark, d), AS_OF).select("cid", "key", "seqno", "value", "status")
-
-
-@query(
-    "kv_observe_whole",
-    WANTED + """, p AS (SELECT vb, max(seqno) - 20 AS persisted FROM m GROUP BY vb)
-    SELECT w.cid, w.key, cas, CASE WHEN seqno IS NULL THEN 'not_found' WHEN deleted THEN 'logically_deleted' WHEN seqno > persisted THEN 'not_persisted' ELSE 'persisted' END AS state
-    FROM wanted w LEFT JOIN (SELECT * FROM newest JOIN p USING (vb)) n ON n.cid = w.cid AND n.key = w.key""",
-)
-def kv_observe_whole(spark, d):
-    log = mutations(spark, d)
-    return reads.observe(log, _wanted(spark, d), log.groupBy("vb").agg((F.max("seqno") - 20).alias("persisted_seqno")))
