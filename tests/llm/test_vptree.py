@@ -104,20 +104,28 @@ def test_components_of_chains_and_stars(spark):
 
 @pytest.mark.parametrize("seed", [1, 2])
 def test_pairs_in_a_shard(seed):
-    """Against all pairs: the forest joins up the same, with and without labels; closest() finds every one of few, and pairs every other row too."""
+    """Against all pairs: the forest joins up the same, with and without labels; highest() pairs every row; apart() finds every pair."""
     fps = clustered(900, seed)
     home = np.arange(len(fps)) % 5 > 0
     near = (np.bitwise_count(fps[:, None] ^ fps[None]) <= 3) & (home[:, None] | home[None])
-    for label in (np.arange(len(fps)), np.arange(len(fps)) // 3):
-        want = {(i, j) for i, j in np.argwhere(near).tolist() if label[i] != label[j]}
-        for few in (10_000, 3):
-            a, b = vptree.closest(fps, home, 3, label, np.arange(len(fps)), few)
+    rank = np.arange(len(fps)) % 7
+    a, b = vptree.highest(fps, home, 3, rank)
+    every = {(i, j) for i, j in np.argwhere(near).tolist() if i != j}
+    best = {}
+    for i, j in zip(a.tolist(), b.tolist(), strict=True):
+        assert (i, j) in every
+        best[i] = max(best.get(i, -1), rank[j])
+    assert best == {i: max(rank[j] for k, j in every if k == i) for i in {i for i, _ in every}}
+    dense = np.where(np.bitwise_count(fps ^ fps[0]) < 6, 0, np.arange(len(fps)))
+    for label in (np.arange(len(fps)), np.arange(len(fps)) // 3, dense):
+        for keep in (lambda i, j: np.ones(len(i), bool), lambda i, j: (i + j) % 3 > 0):
+            want = {(i, j) for i, j in np.argwhere(near).tolist() if label[i] != label[j] and keep(np.array([i]), np.array([j]))[0]}
+            a, b = vptree.apart(fps, home, 3, label, keep)
             got = set(zip(a.tolist(), b.tolist(), strict=True))
-            got |= {(j, i) for i, j in got}
-            assert got <= want and (got == want if few > 3 else {i for i, _ in got} == {i for i, _ in want})
-        x, y = vptree.forest(fps, home, 3, label)
-        links = set(zip(x.tolist(), y.tolist(), strict=True))
-        assert partition(label, want) == partition(label, links) and len(links) <= len(want)
+            assert got | {(j, i) for i, j in got} == want
+            x, y = vptree.forest(fps, home, 3, label, keep)
+            links = set(zip(x.tolist(), y.tolist(), strict=True))
+            assert links <= want and partition(label, want) == partition(label, links)
 
 
 def partition(label, pairs):

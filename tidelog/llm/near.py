@@ -19,8 +19,8 @@ SEED, SHINGLE, SIMILAR = 42, 5, 0.8
 #: Word fingerprints of a text, each with a tree of its own, and the bits in which those of near copies may differ. Texts of
 #: five-word similarity 0.8 share nearly all their words, so these fingerprints are closer than those of shingles.
 TABLES, RADIUS = 4, 4
-#: Partners of a text that are tried at first: so many of the most frequent, and so many of the nearest.
-PARTNERS = 10
+#: Bits of a text's sketch.
+SKETCH = 512
 #: Words whose hashes are kept in each worker.
 CACHE_WORDS = 200_000
 
@@ -41,6 +41,23 @@ def similarity(a: set[bytes], b: set[bytes]) -> float:
     return both / (len(a) + len(b) - both)
 
 
+def sketch(cut: set[bytes]) -> np.ndarray:
+    """SKETCH bits: bit k tells whether an odd number of the shingles fall to it. Two texts' differ in no more bits than shingles are in one text alone."""
+    slots = np.fromiter((xxhash.xxh3_64_intdigest(x, SEED) % SKETCH for x in cut), np.int64, len(cut))
+    return np.packbits(np.bincount(slots, minlength=SKETCH) & 1, bitorder="little").view("<u8")
+
+
+def may_be_similar(size: np.ndarray, sketches: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """False only for pairs whose similarity is below SIMILAR: of so many shingles, too many must be in one text alone."""
+    both = size[i] + size[j]
+    apart = np.abs(size[i] - size[j])
+    for lo in range(0, len(i), 1 << 16):
+        at = slice(lo, lo + (1 << 16))
+        bits = np.bitwise_count(sketches[i[at]] ^ sketches[j[at]]).sum(axis=1, dtype=np.int64)
+        apart[at] = np.maximum(apart[at], bits)
+    return apart * (1 + SIMILAR) <= both * (1 - SIMILAR) + 1e-6
+
+
 class WordHashes(dict):
     """64 * TABLES bits of a word, as bytes, 128 to a hash; made when first asked for."""
 
@@ -105,6 +122,22 @@ def _texts(docs: DataFrame, text_col: str) -> DataFrame:
     return docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "node long, body binary")
 
 
+def _sketched(texts: DataFrame) -> DataFrame:
+    """node, size, sketch: the number of distinct shingles and their sketch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            size, rows = [], [np.zeros(0, np.uint64)]
+            for t in b.column(1):
+                cut = shingles(t.as_py())
+                size.append(len(cut))
+                rows.append(sketch(cut))
+            lists = pa.ListArray.from_arrays(pa.array(range(0, SKETCH // 64 * len(size) + 1, SKETCH // 64), pa.int32()), _long(np.concatenate(rows)))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size, pa.int64()), lists], names=["node", "size", "sketch"])
+
+    return texts.select("node", "body").mapInArrow(run, "node long, size long, sketch array<long>")
+
+
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) whose five-word similarity is at least SIMILAR, exactly. Both sides are written tables."""
 
@@ -119,74 +152,59 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def _partners(pairs: DataFrame) -> DataFrame:
-    """(a, b, top) of pairs (a, b, bits, rank): for each a its PARTNERS of highest rank and as many nearest; top is the very first.
-
-    What is collected for an a is its partners in each block of its shards, of which closest() leaves a bounded number.
-    """
-    once = pairs.groupBy("a", "b").agg(F.min("bits").alias("bits"), F.max("rank").alias("rank"))
-    by_rank = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("rank")).alias("low"), "b"))), 1, PARTNERS)
-    by_bits = F.slice(F.array_sort(F.collect_list(F.struct("bits", (-F.col("rank")).alias("low"), "b"))), 1, PARTNERS)
-    each = once.groupBy("a").agg(F.transform(by_rank, lambda x: x["b"]).alias("first"), F.transform(by_bits, lambda x: x["b"]).alias("near"))
-    return each.select("a", "first", F.explode(F.array_union("first", "near")).alias("b")).select("a", "b", (F.col("b") == F.get("first", F.lit(0))).alias("top"))
+def _ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def _ordered(pairs: DataFrame) -> DataFrame:
-    return pairs.where("a <> b").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("top").alias("top"))
+def _highest(fps: np.ndarray, home: np.ndarray, shard: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    return vptree.highest(fps, home, RADIUS, shard.column("rank").to_numpy())
 
 
-def _apart(pairs: DataFrame, component: DataFrame) -> DataFrame:
-    """The pairs whose ends are not in one component."""
-    for end in ("a", "b"):
-        named = component.select(F.col("node").alias(end), F.col("component").alias(f"{end}_in"))
-        pairs = pairs.join(named.hint("merge"), end, "left")
-    return pairs.where(~F.coalesce(F.col("a_in") == F.col("b_in"), F.lit(False))).select("a", "b")
+def _likely(pairing) -> vptree.Linker:
+    """Links of vptree.forest or vptree.apart between texts of different labels that may be similar."""
 
+    def link(fps: np.ndarray, home: np.ndarray, shard: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        size = shard.column("size").to_numpy()
+        sketches = shard.column("sketch").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(size), -1)
+        return pairing(fps, home, RADIUS, shard.column("label").to_numpy(), lambda i, j: may_be_similar(size, sketches, i, j))
 
-def _holders(each: DataFrame, first: Column) -> DataFrame:
-    """t, fp, label, node, rank: of all texts with one fingerprint and label, the one whose `first` is smallest."""
-    picked = F.min(F.struct(first.alias("first"), F.xxhash64("t", "node").alias("h"), "node", "rank"))
-    return each.groupBy("t", "fp", "label").agg(picked.alias("x")).select("t", "fp", "label", "x.node", "x.rank")
+    return link
 
 
 def near_copies(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
     """doc_id, whole, node, component for each row: texts joined up by pairs that are equal or at least SIMILAR alike.
 
     Null and blank texts are equal; texts of fewer than five words are one shingle; rows that repeat are one text; an empty
-    table gives no rows. Candidates are texts of which one of TABLES word fingerprints differs in at most RADIUS bits. Each
-    fingerprint is held by one text: that whose other fingerprints are the most frequent, as the original's are among its
-    copies. First every text is paired with its holders, and holders by vptree.search with `near`: with all that are near,
-    or where those are many, with the most frequent one and the nearest. Of these partners each text keeps PARTNERS of
-    either kind; the most frequent one is tested first, the others only where that leaves them apart. Then turn by turn a forest, with other holders, is
-    tried between candidates that verified pairs left apart, until a turn joins nothing more. So a group of very many
-    near copies costs some comparisons a copy, and small groups are compared in full; the tests measure what is missed.
+    table gives no rows. Candidates are texts of which one of TABLES word fingerprints differs in at most RADIUS bits. All
+    candidates are settled: they are found similar, or joined by others, or dissimilar by count or by a bound on it.
+
+    First each text is compared with the candidate whose fingerprints are the most frequent, as the original's are among its
+    copies; this joins up most of a large group at one comparison a text. Then, of the candidates still apart that size and
+    sketch let be similar, a forest is compared, and at last every such pair.
     """
     signed = materialize(_signed(docs, text_col), "signed")
     items = materialize(signed.groupBy("node").agg(F.first("fps").alias("fps")).select("node", F.posexplode("fps").alias("t", "fp")), "items")
     frequency = items.groupBy("t", "fp").agg(F.count("*").alias("n")).where("n > 1")
     often = items.join(materialize(frequency, "frequency").hint("merge"), ["t", "fp"]).groupBy("node").agg(F.sum("n").alias("rank"))
-    each = materialize(items.join(often.hint("merge"), "node", "left").select("t", "node", "fp", F.col("fp").alias("label"), F.coalesce("rank", F.lit(0)).cast("long").alias("rank")), "each")
-    holders = materialize(_holders(each, -F.col("rank")), "holders")
-    held = each.where("rank > 0").select("t", "fp", F.col("node").alias("a")).join(holders.select("t", "fp", F.lit(0).alias("bits"), F.col("node").alias("b"), "rank").hint("merge"), ["t", "fp"]).select("a", "b", "bits", "rank")
-    pairs = vptree.search(holders, RADIUS, tables=TABLES, near=True).unionByName(held).where("a <> b")
-    pairs = materialize(_ordered(_partners(pairs)), "pairs")
+    each = items.join(often.hint("merge"), "node", "left").select("t", "node", "fp", F.coalesce("rank", F.lit(0)).cast("long").alias("rank"))
+    each = materialize(each, "each")
+    # One text holds each fingerprint; the others that have it are compared with that one.
+    first = F.min(F.struct((-F.col("rank")).alias("low"), "node"))
+    holders = materialize(each.groupBy("t", "fp").agg(first.alias("x")).select("t", "fp", "x.node", (-F.col("x.low")).alias("rank")), "holders")
+    held = each.where("rank > 0").select("t", "fp", F.col("node").alias("a")).join(holders.select("t", "fp", F.col("node").alias("b")).hint("merge"), ["t", "fp"]).select("a", "b")
+    pairs = materialize(vptree.search(holders, RADIUS, _highest, tables=TABLES).union(held).where("a <> b").distinct(), "pairs")
+    ranked = pairs.join(materialize(often, "often").withColumnRenamed("node", "b").hint("merge"), "b", "left")
+    top = ranked.groupBy("a").agg(F.max(F.struct(F.coalesce("rank", F.lit(0)).alias("rank"), F.bitwise_not("b").alias("b"))).alias("x")).select("a", F.bitwise_not("x.b").alias("b"))
     met = materialize(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "met")
     texts = materialize(small_join(_texts(docs, text_col), met, "node", "inner").dropDuplicates(["node"]), "texts")
-    each = materialize(each.drop("label").join(met.hint("merge"), "node"), "each")
-    links = materialize(verified(pairs.where("top"), texts), "links")
-    rest = materialize(_apart(pairs.where("not top"), connected_components(links)), "rest")
-    links = materialize(links.union(verified(rest, texts)), "links")
-    tested, new, turn = pairs.select("a", "b"), links, 0
-    while not new.isEmpty():
-        turn += 1
-        component = connected_components(links)
-        labelled = each.join(component.hint("merge"), "node", "left").withColumn("label", F.coalesce("component", "node"))
-        holders = materialize(_holders(labelled, F.xxhash64(F.lit(turn), "t", "node")), "holders")
-        pairs = _ordered(vptree.search(holders, RADIUS, tables=TABLES).withColumn("top", F.lit(True))).join(tested.hint("merge"), ["a", "b"], "left_anti")
-        pairs = materialize(pairs, "pairs")
-        new = materialize(verified(pairs, texts), "links")
-        links, tested = materialize(links.union(new), "links"), tested.union(pairs.select("a", "b"))
+    each = materialize(items.join(materialize(_sketched(texts), "sketched").hint("merge"), "node"), "each")
+    links = materialize(verified(materialize(_ordered(top), "top"), texts), "links")
     component = connected_components(links)
+    for pairing in (vptree.forest, vptree.apart):
+        labelled = materialize(each.join(component.hint("merge"), "node", "left").select(*each.columns, F.coalesce("component", "node").alias("label")), "labelled")
+        pairs = materialize(_ordered(vptree.search(labelled, RADIUS, _likely(pairing), tables=TABLES)), "pairs")
+        links = materialize(links.union(verified(pairs, texts)), "links")
+        component = connected_components(links)
     return signed.drop("fps").join(component.hint("merge"), "node", "left").withColumn("component", F.coalesce("component", "node"))
 
 

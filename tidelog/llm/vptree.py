@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -22,8 +22,6 @@ SAMPLE, SAMPLE_RATE = 8_192, 4
 SHARDS, SHARD_ROWS = 64, (16_384, 1 << 19)
 #: Fingerprints in a leaf of the tree that a task builds over its shard.
 LEAF = 512
-#: A fingerprint with up to so many near ones in a leaf is paired with each of them by closest().
-FEW = 20
 
 
 def shard_rows(total: int) -> int:
@@ -200,8 +198,12 @@ def near_blocks(fps: np.ndarray, rows: np.ndarray, every: np.ndarray, radius: in
         yield lo, i, j
 
 
-def forest(fps: np.ndarray, home: np.ndarray, radius: int = RADIUS, label: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Rows a, b of one shard: links that join up whatever lies within radius, home to home and home to guest.
+#: Tells which of the pairs (i, j) of a shard's rows are worth a link.
+Keep = Callable[[np.ndarray, np.ndarray], np.ndarray]
+
+
+def forest(fps: np.ndarray, home: np.ndarray, radius: int = RADIUS, label: np.ndarray | None = None, keep: Keep | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Rows a, b of one shard: links that join up whatever lies within radius (and passes `keep`), home to home and home to guest.
 
     In each leaf they are a forest, not all pairs. Rows of one label, if labels are given, count as joined already.
     """
@@ -209,43 +211,56 @@ def forest(fps: np.ndarray, home: np.ndarray, radius: int = RADIUS, label: np.nd
     for rows, every in leaves(fps, home, radius):
         same = np.arange(len(every)) if label is None else np.unique(label[every], return_inverse=True)[1]
         for lo, i, j in near_blocks(fps, rows, every, radius):
-            a, b = same[lo + i], same[j]
-            apart = np.flatnonzero(a != b)
+            i = lo + i
+            apart = np.flatnonzero(same[i] != same[j])
+            if keep:
+                apart = apart[keep(rows[i[apart]], every[j[apart]])]
             while len(apart):
-                low, high = np.minimum(a[apart], b[apart]), np.maximum(a[apart], b[apart])
+                a, b = same[i[apart]], same[j[apart]]
+                low, high = np.minimum(a, b), np.maximum(a, b)
                 top, first = np.unique(high, return_index=True)  # one link for each label: no circles, since the other is smaller
-                found.append((rows[lo + i[apart[first]]], every[j[apart[first]]]))
+                found.append((rows[i[apart[first]]], every[j[apart[first]]]))
                 to = np.arange(len(every))
                 to[top] = low[first]
                 while (to[to] != to).any():
                     to = to[to]
                 same = to[same]
-                a, b = same[lo + i], same[j]
-                apart = np.flatnonzero(a != b)
+                apart = apart[same[i[apart]] != same[j[apart]]]
     return _joined(found)
 
 
-def closest(fps: np.ndarray, home: np.ndarray, radius: int, label: np.ndarray, rank: np.ndarray, few: int = FEW) -> tuple[np.ndarray, np.ndarray]:
-    """Rows a, b of one shard, of different labels and within radius.
-
-    In each block of a leaf a row, home or guest, is paired with all that are near it there, if those are few; else with the
-    one of highest rank among them and the two nearest.
-    """
+def highest(fps: np.ndarray, home: np.ndarray, radius: int, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows a, b of one shard: in each block of a leaf a row, home or guest, with the one of highest rank near it, itself not counted."""
     found = []
     for rows, every in leaves(fps, home, radius):
         for lo, i, j in near_blocks(fps, rows, every, radius):
             a, b = rows[lo + i], every[j]
-            apart = label[a] != label[b]
+            apart = a != b
             for x, y in ((a[apart], b[apart]), (b[apart], a[apart])):
-                _, at, count = np.unique(x, return_inverse=True, return_counts=True)
-                many = count[at] > few
-                found.append((x[~many], y[~many]))
-                x, y = x[many], y[many]
-                bits = np.bitwise_count(fps[x] ^ fps[y])
-                for order, most in ((np.lexsort((y, -rank[y], x)), 1), (np.lexsort((y, -rank[y], bits, x)), 2)):
-                    own = x[order]
-                    kept = order[np.arange(len(own)) - np.searchsorted(own, own) < most]
-                    found.append((x[kept], y[kept]))
+                order = np.lexsort((y, -rank[y], x))
+                own, first = np.unique(x[order], return_index=True)
+                found.append((own, y[order[first]]))
+    return _joined(found)
+
+
+def apart(fps: np.ndarray, home: np.ndarray, radius: int, label: np.ndarray, keep: Keep) -> tuple[np.ndarray, np.ndarray]:
+    """Rows a, b of one shard: all pairs of different labels within radius that pass `keep`.
+
+    The rows of a leaf's commonest label are compared with those of other labels alone, so a dense group that is joined up
+    costs as many comparisons as there are rows that are not of it.
+    """
+    found = []
+    for rows, every in leaves(fps, home, radius):
+        values, at, count = np.unique(label[every], return_inverse=True, return_counts=True)
+        main = count.argmax()
+        of_main = label[rows] == values[main]
+        for own, others in ((rows[~of_main], every), (rows[of_main], every[at != main])):
+            for lo, i, j in near_blocks(fps, own, others, radius):
+                a, b = own[lo + i], others[j]
+                unlike = label[a] != label[b]
+                a, b = a[unlike], b[unlike]
+                kept = keep(a, b)
+                found.append((a[kept], b[kept]))
     return _joined(found)
 
 
@@ -254,13 +269,16 @@ def _joined(found: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
     return np.concatenate([none, *(x for x, _ in found)]), np.concatenate([none, *(x for _, x in found)])
 
 
-def search(items: DataFrame, radius: int, *, tables: int = 1, near: bool = False, sample: int = SAMPLE, rows: int | None = None) -> DataFrame:
-    """(a, b, bits, rank: of b), nodes of items (t: table, node, fp, label, rank; a written table) within radius in one table and of different labels.
+#: Rows a, b to link in one shard, of its fingerprints, a mark at those that are at home in it, and its table.
+Linker = Callable[[np.ndarray, np.ndarray, pa.Table], tuple[np.ndarray, np.ndarray]]
+
+
+def search(items: DataFrame, radius: int, linker: Linker, *, tables: int = 1, sample: int = SAMPLE, rows: int | None = None) -> DataFrame:
+    """(a, b), nodes of items (t: table, node, fp, and what else `linker` needs; a written table) that `linker` links.
 
     Each table has a vantage-point tree of its own, fitted on at most `sample` items; every fingerprint is routed through
-    it, to its home shard and as a guest to those that its radius reaches into. A shard is one group of a shuffle, in which
-    a task searches by a tree of its own. The pairs join up all that are near (a forest in each leaf, however dense a group
-    is), or with `near` they are those of closest(). Several items may share a fingerprint if their labels differ.
+    it, to its home shard and as a guest to those that its radius reaches into, so any two of one table within radius meet
+    in a shard. A shard is one group of a shuffle, in which a task searches by a tree of its own.
     """
     total = items.count() // tables
     chosen = items.where(F.pmod(F.xxhash64("fp"), F.lit(SAMPLE_RATE)) == 0).select("t", "fp", F.xxhash64(F.lit(7), "fp").alias("h"))
@@ -268,28 +286,28 @@ def search(items: DataFrame, radius: int, *, tables: int = 1, near: bool = False
     for t in range(tables):
         drawn[t] = [r.fp for r in chosen.where(F.col("t") == t).orderBy("h", "fp").limit(sample).collect()]
     trees = [build_tree(np.array(x, np.int64).view(np.uint64), total, rows or shard_rows(total)) for x in drawn]
-    names = ["shard", "node", "fp", "label", "rank", "home"]
+    carried = [c for c in items.columns if c != "t"]
+    walked = items.select(F.lit(0).cast("long").alias("shard"), F.lit(True).alias("home"), *carried).schema
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _gathered(batches, 1 << 16):
-            table, node, fp, label, rank = (part.column(k).to_numpy() for k in ("t", "node", "fp", "label", "rank"))
+            table, fp, part = part.column("t").to_numpy(), part.column("fp").to_numpy(), part.select(carried)
             for t, tree in enumerate(trees):
                 own = np.flatnonzero(table == t)
                 shard, row, home = route(tree, fp[own].view(np.uint64), radius)
-                for lo in range(0, len(shard), 1 << 18):
-                    at = slice(lo, lo + (1 << 18))
-                    k = own[row[at]]
-                    yield pa.RecordBatch.from_arrays([pa.array(shard[at] | (t << 56)), pa.array(node[k]), pa.array(fp[k]), pa.array(label[k]), pa.array(rank[k]), pa.array(home[at])], names=names)
+                for lo in range(0, len(shard), 1 << 16):
+                    at = slice(lo, lo + (1 << 16))
+                    moved = part.take(pa.array(own[row[at]])).combine_chunks()
+                    moved = moved.add_column(0, "home", pa.array(home[at])).add_column(0, "shard", pa.array(shard[at] | (t << 56)))
+                    yield from moved.to_batches()
 
     def link(table: pa.Table) -> pa.Table:
-        node, fp, label, rank, home = (table.column(k).to_numpy() for k in names[1:])
-        order = np.lexsort((fp, node))
-        node, fps, label, rank, home = node[order], fp[order].view(np.uint64), label[order], rank[order], home[order].astype(bool)
-        a, b = closest(fps, home, radius, label, rank) if near else forest(fps, home, radius, label)
-        return pa.table({"a": pa.array(node[a]), "b": pa.array(node[b]), "bits": pa.array(np.bitwise_count(fps[a] ^ fps[b]).astype(np.int32)), "rank": pa.array(rank[b])})
+        table = table.sort_by([("node", "ascending"), ("fp", "ascending")])
+        node, fps = table.column("node").to_numpy(), table.column("fp").to_numpy().view(np.uint64)
+        a, b = linker(fps, table.column("home").to_numpy(), table)
+        return pa.table({"a": pa.array(node[a]), "b": pa.array(node[b])})
 
-    walked = items.select("t", "node", "fp", "label", "rank").mapInArrow(walk, "shard long, node long, fp long, label long, rank long, home boolean")
-    return walked.groupBy("shard").applyInArrow(link, "a long, b long, bits int, rank long")
+    return items.select("t", *carried).mapInArrow(walk, walked).groupBy("shard").applyInArrow(link, "a long, b long")
 
 
 def hamming_links(unique: DataFrame, radius: int = RADIUS, sample: int = SAMPLE, rows: int | None = None) -> DataFrame:
@@ -298,7 +316,8 @@ def hamming_links(unique: DataFrame, radius: int = RADIUS, sample: int = SAMPLE,
     The tree is as deep as the number of fingerprints asks for (see shard_rows): what is shuffled is some 3 to 12 rows a
     fingerprint at radius 2 for up to 2e8 of them (tests). A dense group makes a shard larger but not its links.
     """
-    return search(unique.select(F.lit(0).alias("t"), F.col("fp").alias("node"), "fp", F.col("fp").alias("label"), F.lit(0).cast("long").alias("rank")), radius, sample=sample, rows=rows).select("a", "b")
+    items = unique.select(F.lit(0).alias("t"), F.col("fp").alias("node"), "fp")
+    return search(items, radius, lambda fps, home, _: forest(fps, home, radius), sample=sample, rows=rows)
 
 
 def _gathered(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.Table]:
