@@ -69,3 +69,16 @@ def test_against_all_pairs(spark):
                     to[b] = a
     assert true > 300 and met / true > 0.95
     assert sorted(r.doc_id for r in kept(spark, rows).collect()) == sorted({root(i) for i in range(len(rows))})
+
+
+def test_bound_rules_out_no_similar_pair():
+    """Pairs of every similarity around the threshold, short, empty and long texts: what is ruled out is below it, and much is."""
+    rng = random.Random(5)
+    cut = [near.shingles(near.normal(t)) for t in ("", "one two", text(0, 3000), text(0, 3000, range(0, 600, 20)))]
+    for n in (6, 60, 300):
+        cut += [near.shingles(near.normal(text(n, n, [rng.randrange(n) for _ in range(k)]))) for k in range(12)]
+    size, bits = np.array([len(c) for c in cut]), np.array([near.sketch(c) for c in cut])
+    i, j = (x.ravel() for x in np.indices((len(cut), len(cut))))
+    may = near.may_be_similar(size, bits, i, j)
+    similar = np.array([near.similarity(cut[a], cut[b]) >= near.SIMILAR for a, b in zip(i, j, strict=True)])
+    assert not (similar & ~may).any() and similar.sum() > len(cut) and (~similar & ~may).sum() > 0.8 * (~similar).sum()
