@@ -252,3 +252,27 @@ def test_subdoc_fold(spark):
     df = spark.createDataFrame([('{"a":1}',), (None,)], "doc string")
     got = df.select(subdoc.fold(F.col("doc"), F.array(subdoc.operation("counter", "a", "2"))).alias("r")).select("r.*").collect()
     assert [(r.status, r.doc) for r in got] == [("success", '{"a":3}'), ("doc_not_json", None)]
+
+
+def test_subdoc_fold_of_a_batch(spark):
+    """Lists of their own per row, a null list, null values and flags: as apply_all gives them, in one batch that does not start at the array's first row."""
+    lists = [[("upsert", "b", '"é\\n"', 0)], None, [("upsert", "x.y", "[1.50,true,null]", 1), ("get", "x", None, None)], [], [("delete", "a", None, None), ("delete", "a", "", 0)]] * 40
+    rows = [('{"a":1}', ops) for ops in lists]
+    df = spark.createDataFrame(rows, "doc string, ops array<struct<op string, path string, value string, flags int>>").coalesce(1)
+    got = df.select(subdoc.fold(F.col("doc"), F.col("ops")).alias("r")).select("r.*").collect()
+    names = ("op", "path", "value", "flags")
+    assert sorted(map(repr, map(tuple, got))) == sorted(repr(subdoc.apply_all(t, [dict(zip(names, o, strict=True)) for o in ops or []])) for t, ops in rows)
+
+
+def test_edits_of_one_row_group_are_spread(spark, tmp_path):
+    """A file of one row group is read by one task; the edits of its rows are not left to it. Adaptive execution is off so that its few bytes are not put together again."""
+    from tidelog.plans import registry
+
+    spark.range(4000).selectExpr("id AS event_id", "current_timestamp()::timestamp_ntz AS ts", "id % 7 AS user_id", "'view' AS event_type", "1.0D AS value", "'{\"k\": 7}' AS props").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        for name in ("subdoc_add_delete", "subdoc_whole_document", "subdoc_counter", "subdoc_push_last", "subdoc_add_unique", "subdoc_dict_upsert"):
+            found = registry.QUERIES[name](spark, str(tmp_path)).groupBy(F.spark_partition_id().alias("p")).count().collect()
+            assert len(found) == 4 and max(r["count"] for r in found) < 1500, name
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")

@@ -23,6 +23,14 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame, key: str) -> DataFrame:
+    """Rows dealt by a distinct key: ahead of work that costs much a row, since a file of one row group is read by one task.
+
+    Adaptive execution makes the tasks as many as there are cores, or one for each megabyte of keys if those are fewer.
+    """
+    return rows.repartition(key)
+
+
 def epoch_micros(ts: Column) -> Column:
     """Microseconds since 1970 of a timestamp without zone, read as UTC; free of the session's zone."""
     return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), ts)

@@ -329,7 +329,7 @@ def subdoc_count(spark, d):
 
 
 def _folded(spark: SparkSession, d: str, *ops) -> DataFrame:
-    e = model.read(spark, d, "events")
+    e = model.spread(model.read(spark, d, "events"), "event_id")
     return e.select("event_id", subdoc.fold(F.col("props"), F.array(*ops)).alias("r")).select("event_id", "r.status", "r.doc")
 
 

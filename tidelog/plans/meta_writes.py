@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelog.functions import attributes, scalars, subdoc
-from tidelog.model import AS_OF, mutations
+from tidelog.model import AS_OF, mutations, spread
 from tidelog.operators import reads, sessions, with_meta, writes
 from tidelog.plans.registry import query
 
@@ -134,7 +134,7 @@ def subdoc_document_flags(spark, d):
 )
 def subdoc_whole_document(spark, d):
     e = F.col("event_id")
-    rows = mutations(spark, d).select("event_id", F.concat(F.lit('{"a":'), e.cast("string"), F.lit("}")).alias("doc"))
+    rows = spread(mutations(spark, d).select("event_id"), "event_id").select("event_id", F.concat(F.lit('{"a":'), e.cast("string"), F.lit("}")).alias("doc"))
     ops = F.when(e % 3 == 0, F.array(subdoc.operation("set_doc", "", '{"new":1}'))).when(e % 3 == 1, F.array(subdoc.operation("delete_doc", ""))).otherwise(F.array(subdoc.operation("exists", "a")))
     return rows.select("event_id", subdoc.edit_document(F.col("doc"), F.lit(False), F.lit(0), ops).alias("r")).select("event_id", "r.doc", "r.deleted")
 
@@ -142,7 +142,7 @@ def subdoc_whole_document(spark, d):
 @query("subdoc_add_delete", """SELECT event_id, '{"a":' || event_id::VARCHAR || ',"c":{"d":[0,1]}}' AS doc FROM m""")
 def subdoc_add_delete(spark, d):
     """add, delete, push_first, insert and replace in one list, all or nothing."""
-    rows = mutations(spark, d).select("event_id", F.concat(F.lit('{"a":0,"b":'), F.col("event_id").cast("string"), F.lit("}")).alias("doc"))
+    rows = spread(mutations(spark, d).select("event_id"), "event_id").select("event_id", F.concat(F.lit('{"a":0,"b":'), F.col("event_id").cast("string"), F.lit("}")).alias("doc"))
     ops = F.array(subdoc.operation("replace", "a", F.get_json_object("doc", "$.b")), subdoc.operation("delete", "b"), subdoc.operation("add", "c.d", "[1]", subdoc.MAKE_PARENTS), subdoc.operation("push_first", "c.d", "7"), subdoc.operation("insert", "c.d[0]", "0"), subdoc.operation("delete", "c.d[1]"))
     return rows.select("event_id", subdoc.fold(F.col("doc"), ops)["doc"].alias("doc"))
 
