@@ -22,7 +22,8 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies (five-word Jaccard similarity of at least 0.8) the document with the smallest id stays.
 
-    Candidates come from the vantage-point trees of the SimHash operator (vptree.search), over fingerprints of words.
+    Candidates come from fingerprints of words (vptree.search_alike): dealt by runs of bits, and searched by the vantage-point
+    trees of the SimHash operator where very many are alike in one.
     """
     return near.keep_first(docs, near.near_copies(docs))
 

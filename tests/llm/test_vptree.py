@@ -164,3 +164,63 @@ def test_a_dense_group_keeps_its_shards_small():
     shard, _, home = vptree.route(nodes, fps)
     _, at = np.unique(shard, return_inverse=True)
     assert np.bincount(at[home]).max() < 6000 and len(shard) < 12 * len(fps)
+
+
+def keys(fps, radius):
+    return [fps & np.uint64(sum(1 << b for b in range(k, 64, radius + 1))) for k in range(radius + 1)]
+
+
+@pytest.mark.parametrize("run", [8, 4096])
+def test_pairs_of_one_key(monkeypatch, run):
+    """Over all runs of bits every pair is met, in small groups and in ones that a tree divides; what is linked is within the radius."""
+    monkeypatch.setattr(vptree, "RUN", run)
+    monkeypatch.setattr(vptree, "LEAF", 8)
+    fps = clustered(700, 6)
+    home, label, rank = np.ones(len(fps), bool), np.arange(len(fps)), np.arange(len(fps)) % 7
+    near = {(i, j) for i, j in np.argwhere(np.triu(np.bitwise_count(fps[:, None] ^ fps[None]) <= 4, 1)).tolist()}
+    every, links, best = set(), set(), {}
+    for key in keys(fps, 4):
+        a, b = vptree.apart(fps, home, 4, label, lambda i, j: np.ones(len(i), bool), key)
+        every |= {(min(x), max(x)) for x in zip(a.tolist(), b.tolist(), strict=True)}
+        a, b = vptree.forest(fps, home, 4, label, None, key)
+        links |= set(zip(a.tolist(), b.tolist(), strict=True))
+        a, b = vptree.highest(fps, home, 4, rank, key)
+        for i, j in zip(a.tolist(), b.tolist(), strict=True):
+            assert i != j and (min(i, j), max(i, j)) in near
+            best[i] = max(best.get(i, -1), rank[j])
+    assert every == near and partition(label, near) == partition(label, links)
+    assert best == {i: max(rank[b if a == i else a] for a, b in near if i in (a, b)) for i in {x for pair in near for x in pair}}
+
+
+@pytest.mark.parametrize("shards", [1, 5])
+def test_items_dealt_by_runs(spark, shards):
+    """Two tables: as many copies of each item at any size, and pairs of one table within the radius have a shard and a key in common."""
+    fps = clustered(150, 7)
+    for some in (fps[:40], fps):
+        rows = [(t, int(f.view(np.int64)) + t, int(f.view(np.int64))) for t in range(2) for f in some[:-1]]
+        dealt = vptree.alike(spark.createDataFrame(rows, "t int, node long, fp long"), 4, shards)
+        assert dealt.columns == ["shard", "key", "node", "fp"] and dealt.count() == 5 * len(rows)
+    met = {}
+    for r in dealt.collect():
+        met.setdefault((r.shard, r.key), []).append(r.fp)
+    assert len({s for s, _ in met}) == 10 * shards
+    got = {(t, a, b) for (s, _), own in met.items() for a in own for b in own if (t := s // (5 * shards)) < 2 and a < b}
+    own = sorted(int(f.view(np.int64)) for f in fps[:-1])
+    want = {(t, a, b) for t in range(2) for k, a in enumerate(own) for b in own[k + 1 :] if bin((a ^ b) & (1 << 64) - 1).count("1") <= 4}
+    assert want and want <= got
+
+
+def test_search_by_runs_finds_what_the_tree_finds(spark, monkeypatch):
+    monkeypatch.setattr(vptree, "ALIKE_ROWS", 100)
+    fps = clustered(200, 8)
+    df = spark.createDataFrame([(t, int(f), int(f)) for t in range(2) for f in fps.view(np.int64)[t:]], "t int, node long, fp long")
+
+    def linker(key):
+        def link(f, mark, _):
+            home = np.ones(len(f), bool) if key else mark
+            return vptree.apart(f, home, 4, np.arange(len(f)), lambda i, j: np.ones(len(i), bool), mark if key else None)
+
+        return link
+
+    pairs = [{(min(r), max(r)) for r in found.collect()} for found in (vptree.search_alike(df, 4, linker(True), tables=2), vptree.search(df, 4, linker(False), tables=2))]
+    assert pairs[0] == pairs[1] and len(pairs[0]) > 200

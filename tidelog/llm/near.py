@@ -1,4 +1,4 @@
-"""Near copies of texts: vantage-point trees over word SimHashes propose pairs, exact Jaccard similarity decides."""
+"""Near copies of texts: word SimHashes that are alike in a run of bits propose pairs, exact Jaccard similarity decides."""
 
 from __future__ import annotations
 
@@ -16,7 +16,7 @@ from tidelog.llm.common import materialize, small_join
 from tidelog.llm.graph import connected_components
 
 SEED, SHINGLE, SIMILAR = 42, 5, 0.8
-#: Word fingerprints of a text, each with a tree of its own, and the bits in which those of near copies may differ. Texts of
+#: Word fingerprints of a text, each searched apart from the others, and the bits in which those of near copies may differ. Texts of
 #: five-word similarity 0.8 share nearly all their words, so these fingerprints are closer than those of shingles.
 TABLES, RADIUS = 4, 4
 #: Bits of a text's sketch.
@@ -156,17 +156,17 @@ def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def _highest(fps: np.ndarray, home: np.ndarray, shard: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    return vptree.highest(fps, home, RADIUS, shard.column("rank").to_numpy())
+def _highest(fps: np.ndarray, key: np.ndarray, shard: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    return vptree.highest(fps, np.ones(len(fps), bool), RADIUS, shard.column("rank").to_numpy(), key)
 
 
 def _likely(pairing) -> vptree.Linker:
     """Links of vptree.forest or vptree.apart between texts of different labels that may be similar."""
 
-    def link(fps: np.ndarray, home: np.ndarray, shard: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    def link(fps: np.ndarray, key: np.ndarray, shard: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         size = shard.column("size").to_numpy()
         sketches = shard.column("sketch").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(size), -1)
-        return pairing(fps, home, RADIUS, shard.column("label").to_numpy(), lambda i, j: may_be_similar(size, sketches, i, j))
+        return pairing(fps, np.ones(len(fps), bool), RADIUS, shard.column("label").to_numpy(), lambda i, j: may_be_similar(size, sketches, i, j), key)
 
     return link
 
@@ -192,7 +192,7 @@ def near_copies(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
     first = F.min(F.struct((-F.col("rank")).alias("low"), "node"))
     holders = materialize(each.groupBy("t", "fp").agg(first.alias("x")).select("t", "fp", "x.node", (-F.col("x.low")).alias("rank")), "holders")
     held = each.where("rank > 0").select("t", "fp", F.col("node").alias("a")).join(holders.select("t", "fp", F.col("node").alias("b")).hint("merge"), ["t", "fp"]).select("a", "b")
-    pairs = materialize(vptree.search(holders, RADIUS, _highest, tables=TABLES).union(held).where("a <> b").distinct(), "pairs")
+    pairs = materialize(vptree.search_alike(holders, RADIUS, _highest, tables=TABLES).union(held).where("a <> b").distinct(), "pairs")
     ranked = pairs.join(materialize(often, "often").withColumnRenamed("node", "b").hint("merge"), "b", "left")
     top = ranked.groupBy("a").agg(F.max(F.struct(F.coalesce("rank", F.lit(0)).alias("rank"), F.bitwise_not("b").alias("b"))).alias("x")).select("a", F.bitwise_not("x.b").alias("b"))
     met = materialize(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "met")
@@ -202,7 +202,7 @@ def near_copies(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
     component = connected_components(links)
     for pairing in (vptree.forest, vptree.apart):
         labelled = materialize(each.join(component.hint("merge"), "node", "left").select(*each.columns, F.coalesce("component", "node").alias("label")), "labelled")
-        pairs = materialize(_ordered(vptree.search(labelled, RADIUS, _likely(pairing), tables=TABLES)), "pairs")
+        pairs = materialize(_ordered(vptree.search_alike(labelled, RADIUS, _likely(pairing), tables=TABLES)), "pairs")
         links = materialize(links.union(verified(pairs, texts)), "links")
         component = connected_components(links)
     return signed.drop("fps").join(component.hint("merge"), "node", "left").withColumn("component", F.coalesce("component", "node"))

@@ -22,6 +22,8 @@ SAMPLE, SAMPLE_RATE = 8_192, 4
 SHARDS, SHARD_ROWS = 64, (16_384, 1 << 19)
 #: Fingerprints in a leaf of the tree that a task builds over its shard.
 LEAF = 512
+#: Rows of one key that are compared with each other before a tree divides them, and rows of a shard of search_alike.
+RUN, ALIKE_ROWS = 4_096, 16_384
 
 
 def shard_rows(total: int) -> int:
@@ -176,8 +178,15 @@ def _halve(out, at: int, node: Node, fps, idx, left, home) -> None:
         todo += [(level + 1, path << 1 | k, *s) for k, s in enumerate(sides) if len(s[0])]
 
 
-def leaves(fps: np.ndarray, home: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(home rows, all rows with the home ones first) of each leaf of a tree over one shard's fingerprints."""
+def leaves(fps: np.ndarray, home: np.ndarray, radius: int, key: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(home rows, all rows with the home ones first) of each leaf of a tree over one shard's fingerprints.
+
+    If keys are given, all rows are at home and only those of one key need to meet: small groups come many to a leaf, and
+    those of over RUN rows have a tree each.
+    """
+    if key is not None:
+        yield from _runs(fps, radius, key)
+        return
     own = fps[home]
     if len(own):
         nodes = build_tree(own[:: max(1, len(own) // SAMPLE)][:SAMPLE], len(own), LEAF)
@@ -190,6 +199,24 @@ def leaves(fps: np.ndarray, home: np.ndarray, radius: int) -> Iterator[tuple[np.
                 yield row[a : a + n], row[a:b]
 
 
+def _runs(fps: np.ndarray, radius: int, key: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    order = np.argsort(key, kind="stable")
+    edges = np.r_[0, np.flatnonzero(np.diff(key[order])) + 1, len(key)]
+    size = np.diff(edges)
+    order, size = order[np.repeat(size > 1, size)], size[size > 1]
+    lo = at = 0
+    for n in [*size.tolist(), LEAF + 1]:  # the last one ends the last run
+        if at > lo and at + n - lo > LEAF:
+            rows = order[lo:at]
+            if len(rows) <= RUN:
+                yield rows, rows
+            else:
+                for a, b in leaves(fps[rows], np.ones(len(rows), bool), radius):
+                    yield rows[a], rows[b]
+            lo = at
+        at += n
+
+
 def near_blocks(fps: np.ndarray, rows: np.ndarray, every: np.ndarray, radius: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(offset, i, j), in blocks of rows: every[j] is within radius of rows[offset + i]. A fingerprint is near itself."""
     step = max(1, (1 << 21) // max(1, len(every)))
@@ -202,13 +229,13 @@ def near_blocks(fps: np.ndarray, rows: np.ndarray, every: np.ndarray, radius: in
 Keep = Callable[[np.ndarray, np.ndarray], np.ndarray]
 
 
-def forest(fps: np.ndarray, home: np.ndarray, radius: int = RADIUS, label: np.ndarray | None = None, keep: Keep | None = None) -> tuple[np.ndarray, np.ndarray]:
+def forest(fps: np.ndarray, home: np.ndarray, radius: int = RADIUS, label: np.ndarray | None = None, keep: Keep | None = None, key: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Rows a, b of one shard: links that join up whatever lies within radius (and passes `keep`), home to home and home to guest.
 
     In each leaf they are a forest, not all pairs. Rows of one label, if labels are given, count as joined already.
     """
     found: list[tuple[np.ndarray, np.ndarray]] = []
-    for rows, every in leaves(fps, home, radius):
+    for rows, every in leaves(fps, home, radius, key):
         same = np.arange(len(every)) if label is None else np.unique(label[every], return_inverse=True)[1]
         for lo, i, j in near_blocks(fps, rows, every, radius):
             i = lo + i
@@ -229,10 +256,10 @@ def forest(fps: np.ndarray, home: np.ndarray, radius: int = RADIUS, label: np.nd
     return _joined(found)
 
 
-def highest(fps: np.ndarray, home: np.ndarray, radius: int, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def highest(fps: np.ndarray, home: np.ndarray, radius: int, rank: np.ndarray, key: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Rows a, b of one shard: in each block of a leaf a row, home or guest, with the one of highest rank near it, itself not counted."""
     found = []
-    for rows, every in leaves(fps, home, radius):
+    for rows, every in leaves(fps, home, radius, key):
         for lo, i, j in near_blocks(fps, rows, every, radius):
             a, b = rows[lo + i], every[j]
             apart = a != b
@@ -243,14 +270,14 @@ def highest(fps: np.ndarray, home: np.ndarray, radius: int, rank: np.ndarray) ->
     return _joined(found)
 
 
-def apart(fps: np.ndarray, home: np.ndarray, radius: int, label: np.ndarray, keep: Keep) -> tuple[np.ndarray, np.ndarray]:
+def apart(fps: np.ndarray, home: np.ndarray, radius: int, label: np.ndarray, keep: Keep, key: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Rows a, b of one shard: all pairs of different labels within radius that pass `keep`.
 
     The rows of a leaf's commonest label are compared with those of other labels alone, so a dense group that is joined up
     costs as many comparisons as there are rows that are not of it.
     """
     found = []
-    for rows, every in leaves(fps, home, radius):
+    for rows, every in leaves(fps, home, radius, key):
         values, at, count = np.unique(label[every], return_inverse=True, return_counts=True)
         main = count.argmax()
         of_main = label[rows] == values[main]
@@ -269,7 +296,7 @@ def _joined(found: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
     return np.concatenate([none, *(x for x, _ in found)]), np.concatenate([none, *(x for _, x in found)])
 
 
-#: Rows a, b to link in one shard, of its fingerprints, a mark at those that are at home in it, and its table.
+#: Rows a, b to link in one shard, of its fingerprints, a mark at those that are at home in it (their keys, of search_alike), and its table.
 Linker = Callable[[np.ndarray, np.ndarray, pa.Table], tuple[np.ndarray, np.ndarray]]
 
 
@@ -301,13 +328,39 @@ def search(items: DataFrame, radius: int, linker: Linker, *, tables: int = 1, sa
                     moved = moved.add_column(0, "home", pa.array(home[at])).add_column(0, "shard", pa.array(shard[at] | (t << 56)))
                     yield from moved.to_batches()
 
+    return _linked(items.select("t", *carried).mapInArrow(walk, walked), "home", linker)
+
+
+def search_alike(items: DataFrame, radius: int, linker: Linker, *, tables: int = 1) -> DataFrame:
+    """(a, b) as search gives them, for radii so wide that a tree's rings all overlap and most items are guests of some shards.
+
+    An item has radius + 1 copies however many there are, shards are as many as the items ask for, and what meets in a shard is
+    few enough to be searched at once, or by a tree where very many have the same bits.
+    """
+    return _linked(alike(items, radius, max(1, items.count() // tables // ALIKE_ROWS)), "key", linker)
+
+
+def alike(items: DataFrame, radius: int, shards: int) -> DataFrame:
+    """shard, key and the columns of items but t: each item once for each of radius + 1 runs of bits, whose bits are its key.
+
+    Two fingerprints within radius differ in at most that many bits, so in one run they differ in none and have one key. A shard
+    has whole keys of one table and one run.
+    """
+    masks = [_mask(list(range(k, 64, radius + 1))) for k in range(radius + 1)]
+    bits = F.array(*[F.col("fp").bitwiseAND(F.lit(m - (m >> 63 << 64))) for m in masks])
+    carried = [c for c in items.columns if c != "t"]
+    shard = (F.col("t") * len(masks) + F.col("run")).cast("long") * shards + F.pmod(F.xxhash64("key"), F.lit(shards))
+    return items.select("t", *carried, F.posexplode(bits).alias("run", "key")).select(shard.alias("shard"), "key", *carried)
+
+
+def _linked(dealt: DataFrame, mark: str, linker: Linker) -> DataFrame:
     def link(table: pa.Table) -> pa.Table:
         table = table.sort_by([("node", "ascending"), ("fp", "ascending")])
         node, fps = table.column("node").to_numpy(), table.column("fp").to_numpy().view(np.uint64)
-        a, b = linker(fps, table.column("home").to_numpy(), table)
+        a, b = linker(fps, table.column(mark).to_numpy(), table)
         return pa.table({"a": pa.array(node[a]), "b": pa.array(node[b])})
 
-    return items.select("t", *carried).mapInArrow(walk, walked).groupBy("shard").applyInArrow(link, "a long, b long")
+    return dealt.groupBy("shard").applyInArrow(link, "a long, b long")
 
 
 def hamming_links(unique: DataFrame, radius: int = RADIUS, sample: int = SAMPLE, rows: int | None = None) -> DataFrame:
